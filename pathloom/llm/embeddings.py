@@ -5,13 +5,16 @@ vectors) part them into inverted lists; a member's residual to its centroid is c
 subspaces, each stored as the code of its nearest codeword. Centroids and codewords are fitted
 by Lloyd rounds over all vectors.
 
-Every vector is a query with the radius r of the threshold's angle. It probes each list whose
-cell it can reach within r: cell j borders on the query's own cell i in the plane between
-their centroids, and (d_j^2 - d_i^2) / (2 |c_i - c_j|) is the query's distance from it. In a
-list, tables of the query's distances to codewords are summed by the members' codes; a member
-is kept while that distance is at most r plus the length of what its code leaves out. Both
-bounds are exact, so the probes suffice for every pair and the tables lose none. What is kept
-is ranked again by exact cosine.
+Every vector is a query with the radius r of the threshold's angle. It probes its own list and
+each list whose cell it can reach: cell j borders on the query's own cell i in the plane
+between their centroids, and (d_j^2 - d_i^2) / (2 |c_i - c_j|) is the query's distance from it.
+A partner at distance r lies beyond that plane only if its offset points there; of an offset
+in no special direction, the part along one is r / sqrt(dimensions) in the mean square, so a
+list is probed up to ``reach`` times that (r at most, as with ``reach=None``, where the probes
+suffice for every pair at the cost of many more). In a list, tables of the query's distances
+to codewords are summed by the members' codes; a member is kept while that distance is at most
+r plus the length of what its code leaves out, a bound by which the tables lose no pair. What
+is kept is ranked again by exact cosine.
 
 Lists of more than ``block`` members are searched in blocks, each by all queries of the list,
 so no list has to fit in one task. As a pair is looked for from one side only, a query
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import checkpointed
 
 LEAST, SUBSPACES, CODES, ROUNDS, BLOCK, MOST_LISTS = 0.95, 8, 256, 3, 20_000, 16_384
+REACH = 4.0
 QUERIES = 512
 
 
@@ -114,7 +118,7 @@ def train(rows: DataFrame, dims: int, n: int, subspaces: int = SUBSPACES, codes:
     return own
 
 
-def _postings(own: Quantiser, dims: int, radius: float, blocks: dict[int, int]):
+def _postings(own: Quantiser, dims: int, reach: float, blocks: dict[int, int]):
     """Of each vector: a member row in its list's block, and a query row for each block of each list it can reach."""
     c = own.centroids.astype(np.float64)
     between = np.sqrt(distances(c, c))
@@ -127,7 +131,7 @@ def _postings(own: Quantiser, dims: int, radius: float, blocks: dict[int, int]):
                 code, err = own.codes(rest)
                 d = distances(x.astype(np.float64), c)
                 edge = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * between[home], 1e-9)
-                q, at = np.nonzero((edge <= radius + 1e-6) & (np.arange(len(c)) >= home[:, None]))
+                q, at = np.nonzero((edge <= reach + 1e-6) & (np.arange(len(c)) >= home[:, None]))
                 parts = np.array([blocks.get(k, 1) for k in at.tolist()], np.int64)
                 block = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 q, at = np.repeat(q, parts), np.repeat(at, parts)
@@ -204,7 +208,7 @@ def _unit(docs: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
     return source.where(F.size("e") == dims).mapInArrow(run, "id bigint, v binary"), dims
 
 
-def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = REACH) -> DataFrame:
     """Pairs vec_a < vec_b with cosine >= least."""
     schema = "vec_a bigint, vec_b bigint, cosine double"
     unit, dims = _unit(vectors, vec_id, vector)
@@ -217,7 +221,7 @@ def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     own, radius = train(unit, dims, n), float(np.sqrt(max(0.0, 2 - 2 * least)))
     sizes = _sizes(unit, own, dims)
     blocks = {k: -(-v // block) for k, v in sizes.items() if v > block}
-    posted = unit.mapInArrow(_postings(own, dims, radius, blocks), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
+    posted = unit.mapInArrow(_postings(own, dims, radius if reach is None else radius * min(1.0, reach / dims**0.5), blocks), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
     found = posted.repartition("l", "p").sortWithinPartitions("l", "p", "query").mapInArrow(_search(own, dims, radius, least), schema)
     return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
