@@ -27,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, NONE = 128, 1 << 60
 #: Words whose encoding a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 ROWS = 512
 
 # the same pattern over the characters of the plain set, for which the standard library's engine is faster

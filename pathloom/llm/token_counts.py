@@ -30,6 +30,8 @@ from pathloom.llm import bpe
 
 BUDGETS = (128, 1024)
 ROWS = 256
+#: Bytes of a piece's head.
+HEAD = 6
 _W = r"\p{White_Space}"
 _L, _S = bpe._L, bpe._S
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -54,7 +56,11 @@ class Prefixes:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.longest: dict[bytes, int] = {}  # of the tokens that end in these four bytes
+        for t in ranks:
+            if len(t) > 3:
+                self.longest[t[-4:]] = max(len(t), self.longest.get(t[-4:], 0))
+        self.heads = bpe.Remembered(lambda w: self._extend(w, [0], [0]))
         self.pairs = bpe.Remembered(self._pair, 1_000_000)
         self.steps = bpe.Remembered(self._steps)
 
@@ -62,18 +68,22 @@ class Prefixes:
         a, b = pair >> 32, pair & 0xFFFFFFFF
         return bpe.encode_word(self.tokens[a] + self.tokens[b], self.ranks) == [a, b]
 
-    def word(self, word: bytes) -> list[int]:
-        """Counts at the prefixes of 0 to n bytes of one piece."""
+    def _extend(self, word: bytes, count: list[int], last: list[int]) -> tuple[list[int], list[int]]:
+        """Counts and last tokens at all prefixes of the word, from those at the first ones."""
         get, pairs, longest = self.ranks.get, self.pairs, self.longest
-        count, last = [0], [0]
-        for i in range(1, len(word) + 1):
-            for a in range(max(0, i - longest), i):
+        for i in range(len(count), len(word) + 1):
+            for a in range(max(0, i - longest.get(word[i - 4 : i], 3)) if i > 4 else 0, i):
                 token = get(word[a:i])
                 if token is not None and (a == 0 or pairs[last[a] << 32 | token]):
                     count.append(count[a] + 1)
                     last.append(token)
                     break
-        return count
+        return count, last
+
+    def word(self, word: bytes) -> list[int]:
+        """Counts at the prefixes of 0 to n bytes of one piece. Pieces that begin alike share the work on their heads."""
+        count, last = self.heads[word[:HEAD]]
+        return self._extend(word, count[:], last[:])[0] if len(word) > HEAD else count
 
     def chars(self, piece: str) -> list[int]:
         """Counts at the prefixes of 1 to n characters of one piece."""
