@@ -184,6 +184,26 @@ class Catalog:
         self.put(table, self.rows[table.id].drop(name), "alter")
         self.remember_model()
 
+    def describe(self, node, comment: str | None = None, annotations: dict | None = None, acls: dict | None = None, bindings: dict | None = None) -> None:
+        """Sets a model element's comment, or entries of its annotations, ACLs and bindings; a value of None takes an entry away."""
+        if comment is not None:
+            node.comment = comment
+        for store, new in (("annotations", annotations), ("acls", acls), ("acl_bindings", bindings)):
+            for k, v in (new or {}).items():
+                entries = getattr(node, store)
+                if v is None:
+                    entries.pop(k, None)
+                else:
+                    if store == "acls" and k not in authz.IMPLIED:
+                        raise BadRequest(f"unknown right {k}")
+                    entries[k] = v
+        self.remember_model()
+
+    def meta(self, key: str | None = None) -> DataFrame:
+        """The catalog's ACLs as rows of key and value."""
+        found = [(k, m) for k, members in self.model.acls.items() for m in members or [] if key in (None, k)]
+        return self.spark.createDataFrame(found, "key string, value string")
+
     # reading
 
     def scan(self, client: Client, at: datetime | None = None, model: Model | None = None) -> Callable[[Table], DataFrame]:
@@ -270,6 +290,14 @@ class Catalog:
         for f in self.listeners:
             f(Written(table.id, kind, now))
 
+    def audit(self, table: Table, at: datetime, hide: tuple[str, ...] = (), show: tuple[str, ...] | None = None) -> DataFrame:
+        """The rows that a write at that moment brought or took away, for a log: change (+ or -) and the columns not hidden."""
+        past = self.past[table.id]
+        cols = [f"`{c}`" for c in table.columns if c not in hide and (show is None or c in show)]
+        when = F.lit(at).cast("timestamp")
+        taken = past.where(F.col(history.TO) == when).select(F.lit("-").alias("change"), *cols)
+        return past.where(F.col(history.FROM) == when).select(F.lit("+").alias("change"), *cols).unionAll(taken)
+
     def may(self, table: Table, right: str, client: Client, column: Column | None = None) -> bool | None:
         if table.kind != "table":
             raise Conflict(f"{table.name} is not writable")

@@ -26,11 +26,31 @@ TABLES: dict[str, tuple] = {
 }
 
 
+#: The tables' columns, declared so that opening a catalog reads no file.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The folder's tables with their keys and foreign keys."""
     c = Catalog(spark)
     for name, (key, fkeys) in TABLES.items():
-        c.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, fkeys)
+        c.register(name, rows(spark, sf_dir, name), key, fkeys)
     return c
 
 
@@ -92,8 +112,8 @@ def group_bin_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two foreign keys between the same tables: each match of either counts once."""
     c = Catalog(spark)
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    pair = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.pmod("o_custkey", F.lit(25)).cast("int").alias("n1"), F.pmod("o_orderkey", F.lit(25)).cast("int").alias("n2"))
+    nation = rows(spark, sf_dir, "nation")
+    pair = rows(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_custkey", F.lit(25)).cast("int").alias("n1"), F.pmod("o_orderkey", F.lit(25)).cast("int").alias("n2"))
     c.register("nation", nation, ("n_nationkey",))
     c.register("trade", pair, ("o_orderkey",), [(("n1",), "nation", ("n_nationkey",)), (("n2",), "nation", ("n_nationkey",))])
     return c.query("attributegroup/nation/T:=trade/nation:n_name;n:=cnt(T:o_orderkey)")
@@ -131,7 +151,7 @@ def cell_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last event type, kept as versions, as it was at a moment."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = rows(spark, sf_dir, "events")
     last = events.groupBy("user_id", F.date_trunc("day", "ts").alias("valid_from")).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"))
     versions = last.select("user_id", "e.event_type", "valid_from", F.expr("lead(valid_from) OVER (PARTITION BY user_id ORDER BY valid_from)").alias("valid_to"))
     middle = events.agg(F.expr("timestamp_seconds(floor((unix_seconds(cast(min(ts) as timestamp)) + unix_seconds(cast(max(ts) as timestamp))) / 2))")).first()[0]
@@ -141,15 +161,15 @@ def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New balances for some customers, and new customers."""
     c = catalog(spark, sf_dir)
-    old = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    rows = old.where("c_custkey % 7 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), "c_nationkey", F.lit(1.5).alias("c_acctbal"), "c_mktsegment")
-    return c.upsert("entity/customer", rows)
+    old = rows(spark, sf_dir, "customer")
+    new = old.where("c_custkey % 7 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), "c_nationkey", F.lit(1.5).alias("c_acctbal"), "c_mktsegment")
+    return c.upsert("entity/customer", new)
 
 
 def group_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    rows = spark.createDataFrame([("BUILDING", "TOWERS"), ("NOTHING", "X")], "old string, new string")
-    return c.update("attributegroup/customer/old:=c_mktsegment;new:=c_mktsegment", rows)
+    new = spark.createDataFrame([("BUILDING", "TOWERS"), ("NOTHING", "X")], "old string, new string")
+    return c.update("attributegroup/customer/old:=c_mktsegment;new:=c_mktsegment", new)
 
 
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,20 +184,20 @@ def clear_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 = 0").withColumn("p_partkey", F.col("p_partkey") * 3)
-    c.insert("entity/part", rows, onconflict="skip")
+    new = rows(spark, sf_dir, "part").where("p_partkey % 10 = 0").withColumn("p_partkey", F.col("p_partkey") * 3)
+    c.insert("entity/part", new, onconflict="skip")
     return c.query("entity/part")
 
 
 def textfacet(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark)
     for name in ("region", "nation", "part"):
-        c.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        c.register(name, rows(spark, sf_dir, name))
     return c.textfacet("asia|blue")
 
 
 def rid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    keys = rows(spark, sf_dir, "orders").select("o_orderkey")
     coded = keys.withColumn("code", rid.encode(F.col("o_orderkey")))
     return coded.withColumn("back", rid.decode(F.lower("code")))
 

@@ -300,3 +300,34 @@ def test_disabled_history_and_listeners(basic, spark):
     basic.model.table("basic2").history = False
     basic.delete("entity/basic2/id=5")
     assert [w.kind for w in seen] == ["delete"]
+
+
+def test_descriptions_and_audit(basic, spark):
+    t = basic.model.table("basic1")
+    basic.describe(t, comment="first", annotations={"tag:x": {"a": 1}}, acls={"select": ["*"]})
+    assert (t.comment, t.annotations, t.acls) == ("first", {"tag:x": {"a": 1}}, {"select": ["*"]})
+    basic.describe(t, annotations={"tag:x": None})
+    assert t.annotations == {}
+    with pytest.raises(BadRequest):
+        basic.describe(t, acls={"fly": ["*"]})
+    assert [tuple(r) for r in basic.meta("select").collect()] == [("select", "*")]
+    basic.update("attributegroup/basic1/id;name", spark.createDataFrame([(1, "new")], "id long, name string"))
+    seen = [tuple(r) for r in basic.audit(t, basic.changes[-1], show=("id", "name")).collect()]
+    assert sorted(seen) == [("+", 1, "new"), ("-", 1, "foo")]
+
+
+def test_amended_models(basic):
+    basic.amend_models(lambda m: m.table("basic1").acls.update({"select": []}))
+    assert basic.query("entity/basic1").count() == 0
+    assert basic.query(f"catalog/1@{moment_code(basic.changes[-1])}/entity/basic1").count() == 0
+
+
+def test_rights_of_rows(basic):
+    basic.model.table("basic1").columns["RID"] = basic.model.table("basic1").columns["name"].__class__("RID", Type.of("text"))
+    t = basic.model.table("basic1")
+    basic.rows[t.id] = basic.rows[t.id].withColumn("RID", rid.encode(F.col("id")))
+    t.acls = {"update": [], "delete": []}
+    t.acl_bindings = {"foo": {"types": ["update"], "projection": "name", "projection_type": "acl"}}
+    got = {r.id: r.r for r in basic.query("attribute/basic1/id,r:=trs(RID)", client=Client("foo")).collect()}
+    assert got[1] == '{"update":true,"delete":false}' and got[2] == '{"update":false,"delete":false}'
+    assert '"column_update"' in basic.query("attribute/basic1/id=1/r:=tcrs(RID)").first().r
