@@ -30,8 +30,8 @@ from pathloom.llm import bpe
 
 BUDGETS = (128, 1024)
 ROWS = 256
-#: Bytes of a piece's head.
-HEAD = 6
+#: Bytes of a piece's head, and units whose steps a worker remembers.
+HEAD, REMEMBERED = 6, 500_000
 _W = r"\p{White_Space}"
 _L, _S = bpe._L, bpe._S
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -62,7 +62,7 @@ class Prefixes:
                 self.longest[t[-4:]] = max(len(t), self.longest.get(t[-4:], 0))
         self.heads = bpe.Remembered(lambda w: self._extend(w, [0], [0]))
         self.pairs = bpe.Remembered(self._pair, 1_000_000)
-        self.steps = bpe.Remembered(self._steps)
+        self.steps = bpe.Remembered(self._steps, REMEMBERED)
 
     def _pair(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
