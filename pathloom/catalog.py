@@ -334,7 +334,7 @@ class Catalog:
         top = df.agg(*(F.max(rid.decode("RID") if c.name == "RID" else F.col(f"`{c.name}`").cast("bigint")).alias(c.name) for c in table.columns.values() if c.name == "RID" or c.type.name.startswith("serial"))).first() if any(c.name == "RID" or c.type.name.startswith("serial") for c in table.columns.values()) else ()
         self.next_rid = max([self.next_rid, *(x + 1 for x in top if x is not None)])
         for c in table.columns.values():
-            if c.type.name in ("ermrest_uri", "ermrest_curie") and c.name.lower() in ("uri", "id") and c.default and "{RID}" in str(c.default):
+            if c.type.name in ("row_uri", "row_curie") and c.name.lower() in ("uri", "id") and c.default and "{RID}" in str(c.default):
                 df = df.withColumn(c.name, F.replace(F.col(c.name), F.lit("{RID}"), F.col("RID")))
         return df
 

@@ -9,7 +9,7 @@ from pathloom.plans.model import Type
 
 
 def scalar_text(c: Column, kind: str) -> Column:
-    if kind in ("timestamptz", "ermrest_rct", "ermrest_rmt"):
+    if kind in ("timestamptz", "row_rct", "row_rmt"):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     if kind == "timestamp":
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

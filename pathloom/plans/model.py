@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
 from pathloom.errors import BadRequest, Conflict, NotFound
 
-TEXT = ("text", "longtext", "markdown", "gene_sequence", "url", "uri", "curie", "ermrest_uri", "ermrest_curie", "color_rgb_hex", "ermrest_rid", "ermrest_rcb", "ermrest_rmb", "uuid", "interval", "timetz", "json", "jsonb")
+TEXT = ("text", "longtext", "markdown", "gene_sequence", "url", "uri", "curie", "row_uri", "row_curie", "color_rgb_hex", "row_rid", "row_rcb", "row_rmb", "uuid", "interval", "timetz", "json", "jsonb")
 SPARK = {
     "boolean": "boolean", "int2": "smallint", "int4": "int", "int8": "bigint", "serial2": "smallint", "serial4": "int", "serial8": "bigint", "oid": "bigint",
     "float4": "float", "float8": "double", "numeric": "decimal(38,18)", "date": "date", "timestamptz": "timestamp", "timestamp": "timestamp_ntz", "time": "string",
-    "ermrest_rct": "timestamp", "ermrest_rmt": "timestamp", **dict.fromkeys(TEXT, "string"),
+    "row_rct": "timestamp", "row_rmt": "timestamp", **dict.fromkeys(TEXT, "string"),
 }
 ALIASES = {"integer": "int4", "int": "int4", "bigint": "int8", "smallint": "int2", "real": "float4", "double precision": "float8", "double": "float8", "character varying": "text", "varchar": "text", "string": "text", "bool": "boolean", "timestamp with time zone": "timestamptz", "timestamp without time zone": "timestamp", "serial": "serial4", "bigserial": "serial8"}
-INTS, FLOATS, TIMES = {"int2", "int4", "int8", "serial2", "serial4", "serial8", "oid"}, {"float4", "float8"}, {"date", "timestamptz", "timestamp", "ermrest_rct", "ermrest_rmt"}
+INTS, FLOATS, TIMES = {"int2", "int4", "int8", "serial2", "serial4", "serial8", "oid"}, {"float4", "float8"}, {"date", "timestamptz", "timestamp", "row_rct", "row_rmt"}
 SYSTEM = ("RID", "RCT", "RMT", "RCB", "RMB")
 
 
@@ -31,6 +32,8 @@ class Type:
         array = text.endswith("[]")
         base = text[:-2] if array else text
         base = ALIASES.get(base.lower(), base)
+        if m := re.fullmatch(r"[a-z]+_(uri|curie|rid|rct|rmt|rcb|rmb)", base):  # domains of identifiers and system columns, whatever their prefix
+            base = f"row_{m[1]}"
         if base not in SPARK:
             raise BadRequest(f"unknown type {text}")
         return cls(base, array)

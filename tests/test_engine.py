@@ -168,7 +168,7 @@ def test_foreign_key_actions(spark, action, left):
 def test_system_columns(spark):
     c = Catalog(spark, clock=Clock())
     system = [column("RID", "text", False), column("RCT", "timestamptz", False), column("RMT", "timestamptz", False), column("RCB", "text"), column("RMB", "text")]
-    c.create(doc("t", [*system, column("id", "serial8", False), column("v", "text"), column("uri", "ermrest_uri", default="/id/{RID}")], [["RID"], ["id"]]))
+    c.create(doc("t", [*system, column("id", "serial8", False), column("v", "text"), column("uri", "row_uri", default="/id/{RID}")], [["RID"], ["id"]]))
     me = Client("me", frozenset({"staff"}))
     c.insert("entity/t", spark.createDataFrame([("a",), ("b",)], "v string"), client=me)
     rows = c.query("entity/t").collect()
