@@ -79,6 +79,7 @@ class Catalog:
         self.past: dict[tuple[str, str], DataFrame] = {}
         self.models: list[tuple[datetime, Model]] = []
         self.changes: list[datetime] = []
+        self.written: set[tuple[str, str]] = set()
         self.listeners: list[Callable[[Written], None]] = []
         self.leases: DataFrame | None = None
         self.next_rid, self.version = 1, 0
@@ -91,11 +92,11 @@ class Catalog:
         self.models = [m for m in self.models if m[0] != now] + [(now, copy.deepcopy(self.model))]
         self.changes.append(now)
 
-    def register(self, name: str, df: DataFrame, key: tuple[str, ...] | list[tuple[str, ...]] | None = None, fkeys: list[tuple[tuple[str, ...], str, tuple[str, ...]]] = (), schema: str = "public", kind: str = "table") -> Table:
-        """A table over rows that exist already; keys are declared, not checked, and their columns count as never null."""
+    def register(self, name: str, df: DataFrame, key: tuple[str, ...] | list[tuple[str, ...]] | None = None, fkeys: list[tuple[tuple[str, ...], str, tuple[str, ...]]] = (), schema: str = "public", kind: str = "table", history: bool = False) -> Table:
+        """A table over rows that exist already; keys are declared, not checked, and their columns count as never null. Its history is kept if asked for."""
         keys = [key] if isinstance(key, tuple) else list(key or [])
         keyed = {c for k in keys for c in k}
-        t = Table(schema, name, {f.name: Column(f.name, Type.of_spark(f.dataType), f.name not in keyed) for f in df.schema}, [Key(k, enforced=kind == "table") for k in keys], kind=kind)
+        t = Table(schema, name, {f.name: Column(f.name, Type.of_spark(f.dataType), f.name not in keyed) for f in df.schema}, [Key(k, enforced=kind == "table") for k in keys], kind=kind, history=history)
         self.model.add_table(t)
         for cols, target, target_cols in fkeys:
             self.model.add_fkey(t, ForeignKey(cols, self.model.table(target).id, target_cols))
@@ -130,6 +131,8 @@ class Catalog:
         for store in (self.rows, self.past):
             if old in store:
                 store[table.id] = store.pop(old)
+        if old in self.written:
+            self.written = self.written - {old} | {table.id}
         self.remember_model()
 
     def drop_table(self, table: Table) -> None:
@@ -213,6 +216,8 @@ class Catalog:
             if at is None:
                 return self.rows[t.id]
             if t.id not in self.past:
+                if t.id in self.written:
+                    raise Conflict(f"no history of {t.name} is kept")
                 return self.rows[t.id]
             old = history.as_of(self.past[t.id], at)
             return old.select(*(f"`{c}`" if c in old.columns else F.lit(None).cast(t.columns[c].type.spark).alias(c) for c in t.columns))
@@ -286,6 +291,7 @@ class Catalog:
                     old = old.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
             self.past[table.id] = settled(history.capture(old, df, key, now), self.root, f"{table.schema}/{table.name}.history", self.version)
         self.rows[table.id] = df
+        self.written.add(table.id)
         self.changes.append(now)
         for f in self.listeners:
             f(Written(table.id, kind, now))
