@@ -2,15 +2,17 @@
 
 Protected entities are e-mail addresses, telephone numbers, IP addresses, card numbers and
 social security numbers; they are replaced by their kind. What else reveals them is estimated
-from the corpus: of N documents, an entity e is in d(e), a term t in d(t), and t stands within
-``WINDOW`` words of e in d(e, t) of them. The share of e's information that t discloses is
+from the corpus: of N documents, an entity e is in d(e), a term t in d(t), and both are in
+d(e, t) of them, wherever they stand (``WINDOW``, in words, spans any text). An entity in the
+documents of t is as likely as P(e | t) = (d(e, t) + s d(e) / N) / (d(t) + s): ``PRIOR`` = s
+documents of the corpus's own rate smooth small counts, so that entities and terms of one
+document have an estimate too. The share of e's information that t discloses is
 
-    log(d(e, t) N / (d(e) d(t))) / log(N / d(e)),
+    log(P(e | t) N / d(e)) / log(N / d(e)),
 
 the pointwise mutual information over e's information content. From ``GENERALISE`` on the term
-is generalised to [TERM], from ``REMOVE`` on removed, in each document in which it stands near
-e, wherever it stands there. Pairs of fewer than ``SUPPORT`` documents are no evidence. All
-counts are over the whole corpus.
+is generalised to [TERM], from ``REMOVE`` on removed, in each document that holds e, wherever
+it stands there. All counts are over the whole corpus.
 
 Defined cases: a null or empty text has no entities; every row counts as a document, repeated
 rows too; terms are decided by id, so rows of one id (or without one) share theirs; an entity
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import checkpointed, chunks, text_buffer, words
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.6, 0.85
+WINDOW, PRIOR, GENERALISE, REMOVE = 1 << 30, 1.0, 0.6, 0.85
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 NUMBER = re.compile(
     r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)"
@@ -79,7 +81,7 @@ def _terms(raw: bytes, at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarra
     return h, starts, ends, np.searchsorted(starts, a)
 
 
-MARKED = "doc_id bigint, text string, kinds array<string>, n_entities int, ents array<bigint>, pairs array<struct<e:bigint,t:bigint>>"
+MARKED = "doc_id bigint, text string, kinds array<string>, n_entities int, ents array<bigint>, near array<struct<es:array<bigint>,ts:array<bigint>>>"
 
 
 def _mark(window: int):
@@ -91,11 +93,16 @@ def _mark(window: int):
                     continue
                 h, _, _, place = _terms(t.encode(), _bytes(t, spans))
                 ids = [identity(t[a:z], k) for a, z, k in spans]
-                pairs = {(e, x) for e, p in zip(ids, place.tolist()) for x in h[max(0, p - window) : p + window].tolist()}
-                rows.append((i, t, sorted({k for *_, k in spans}), len(spans), sorted(set(ids)), [{"e": e, "t": x} for e, x in pairs]))
+                own = sorted(set(ids))
+                if window >= len(h):
+                    near = [{"es": own, "ts": np.unique(h)}]
+                else:
+                    places = [(e, [h[max(0, p - window) : p + window] for x, p in zip(ids, place.tolist()) if x == e]) for e in own]
+                    near = [{"es": [e], "ts": np.unique(np.concatenate(x))} for e, x in places]
+                rows.append((i, t, sorted({k for *_, k in spans}), len(spans), own, near))
             cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "text", "kinds", "n_entities", "ents", "pairs"])
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("es", pa.list_(pa.int64())), ("ts", pa.list_(pa.int64()))]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "text", "kinds", "n_entities", "ents", "near"])
 
     return run
 
@@ -131,17 +138,22 @@ def _document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "t", "left_semi")
 
 
-def _actions(docs: DataFrame, text: str, marked: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+def _actions(docs: DataFrame, text: str, marked: DataFrame, prior: float, generalise: float, remove: float) -> DataFrame:
     """(id, terms): of each document, the terms that disclose too much, and whether they go."""
-    pairs = marked.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", "p.e", "p.t")
-    both = checkpointed(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("det")).where(F.col("det") >= support))
+    near = marked.select("doc_id", F.explode("near").alias("p")).select("doc_id", "p.es", "p.ts")
     de = marked.select(F.explode("ents").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("de"))
-    dt = _document_counts(docs, text, both.select("t").distinct())
+    dt = _document_counts(docs, text, near.select(F.explode("ts").alias("t")).distinct())
     n = F.lit(float(docs.count()))
-    told = F.log(F.col("det") * n / (F.col("de") * F.col("dt"))) / F.log(n / F.col("de"))
-    flagged = both.join(de, "e").join(dt, "t").where(F.col("de") < n).withColumn("told", told).where(F.col("told") >= generalise)
-    each = pairs.join(flagged.select("e", "t", (F.col("told") >= remove).alias("gone")), ["e", "t"])
-    each = each.groupBy("doc_id", "t").agg(F.max("gone").alias("gone"))
+
+    def told(both: Column) -> Column:
+        return F.log((both + prior * F.col("de") / n) / (F.col("dt") + prior) * n / F.col("de")) / F.log(n / F.col("de"))
+
+    pairs = near.select("doc_id", F.explode("es").alias("e"), "ts").join(de.where(F.col("de") < n), "e")
+    pairs = pairs.select("doc_id", "e", "de", F.explode("ts").alias("t")).join(dt, "t")
+    # no pair is in more documents than its entity or its term; those below the threshold even so aren't counted
+    pairs = pairs.where(told(F.least("de", "dt")) >= generalise)
+    flagged = pairs.withColumn("told", told(F.count(F.lit(1)).over(Window.partitionBy("e", "t")))).where(F.col("told") >= generalise)
+    each = flagged.groupBy("doc_id", "t").agg(F.max(F.col("told") >= remove).alias("gone"))
     return each.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("t", "gone")).alias("terms"))
 
 
@@ -164,11 +176,11 @@ def sanitise_text(text: str, terms: dict[int, bool]) -> tuple[str, int, int]:
     return b"".join([*out, raw[last:]]).decode(), general, gone
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The documents that hold an entity: doc_id, kinds, n_entities, n_generalised, n_removed, sanitized. All others stay as they are and aren't listed."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     marked = checkpointed(source.mapInArrow(_mark(window), MARKED))
-    actions = _actions(source, "text", marked, support, generalise, remove)
+    actions = _actions(source, "text", marked, prior, generalise, remove)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
