@@ -6,12 +6,13 @@ subspaces, each stored as the code of its nearest codeword. Centroids and codewo
 by Lloyd rounds over all vectors.
 
 Every vector is a query with the radius r of the threshold's angle. It probes its own list and
-each list whose cell it can reach: cell j borders on the query's own cell i in the plane
-between their centroids, and (d_j^2 - d_i^2) / (2 |c_i - c_j|) is the query's distance from it.
-A partner at distance r lies beyond that plane only if its offset points there; of an offset
-in no special direction, the part along one is r / sqrt(dimensions) in the mean square, so a
-list is probed up to ``reach`` times that (r at most, as with ``reach=None``, where the probes
-suffice for every pair at the cost of many more). In a list, tables of the query's distances
+each list that can hold a partner: cell j lies beyond the plane between its centroid and any
+other one k, and (d_j^2 - d_k^2) / (2 |c_k - c_j|) is the query's distance from it, which is
+asked of the ``NEAREST`` centroids k; and the query is at most r farther from c_j than the
+list's farthest member. Both hold for every pair, so the probes lose none (``reach=None``).
+A number as ``reach`` asks for at most so many mean offsets r / sqrt(dimensions) beyond the
+planes; that takes fewer probes, but loses pairs where vectors are of few intrinsic
+dimensions. In a list, tables of the query's distances
 to codewords are summed by the members' codes; a member is kept while that distance is at most
 r plus the length of what its code leaves out, a bound by which the tables lose no pair. What
 is kept is ranked again by exact cosine.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import checkpointed
 
 LEAST, SUBSPACES, CODES, ROUNDS, BLOCK, MOST_LISTS = 0.95, 8, 256, 3, 20_000, 16_384
-REACH = 4.0
+REACH, NEAREST = None, 16
 QUERIES = 512
 
 
@@ -118,10 +119,11 @@ def train(rows: DataFrame, dims: int, n: int, subspaces: int = SUBSPACES, codes:
     return own
 
 
-def _postings(own: Quantiser, dims: int, reach: float, blocks: dict[int, int]):
+def _postings(own: Quantiser, dims: int, radius: float, reach: float, blocks: dict[int, int], widest: dict[int, float]):
     """Of each vector: a member row in its list's block, and a query row for each block of each list it can reach."""
     c = own.centroids.astype(np.float64)
     between = np.sqrt(distances(c, c))
+    far = np.array([widest.get(k, -np.inf) for k in range(len(c))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,8 +132,11 @@ def _postings(own: Quantiser, dims: int, reach: float, blocks: dict[int, int]):
                 home, rest = own.residuals(x)
                 code, err = own.codes(rest)
                 d = distances(x.astype(np.float64), c)
-                edge = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * between[home], 1e-9)
-                q, at = np.nonzero((edge <= reach + 1e-6) & (np.arange(len(c)) >= home[:, None]))
+                probe = (np.arange(len(c)) >= home[:, None]) & (np.sqrt(d) <= far + radius + 1e-3)
+                # lists are told apart in single precision, hence the allowance
+                for k in (home, *np.argpartition(d, min(NEAREST, len(c)) - 1, 1)[:, :NEAREST].T):
+                    probe &= d - d[np.arange(len(x)), k][:, None] <= 2 * reach * between[k] + 1e-5
+                q, at = np.nonzero(probe)
                 parts = np.array([blocks.get(k, 1) for k in at.tolist()], np.int64)
                 block = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 q, at = np.repeat(q, parts), np.repeat(at, parts)
@@ -220,18 +225,21 @@ def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         return vectors.sparkSession.createDataFrame([], schema)
     own, radius = train(unit, dims, n), float(np.sqrt(max(0.0, 2 - 2 * least)))
     sizes = _sizes(unit, own, dims)
-    blocks = {k: -(-v // block) for k, v in sizes.items() if v > block}
-    posted = unit.mapInArrow(_postings(own, dims, radius if reach is None else radius * min(1.0, reach / dims**0.5), blocks), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
+    blocks = {k: -(-v // block) for k, (v, _) in sizes.items() if v > block}
+    posted = unit.mapInArrow(_postings(own, dims, radius, radius if reach is None else radius * min(1.0, reach / dims**0.5), blocks, {k: w for k, (_, w) in sizes.items()}), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
     found = posted.repartition("l", "p").sortWithinPartitions("l", "p", "query").mapInArrow(_search(own, dims, radius, least), schema)
     return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
-def _sizes(unit: DataFrame, own: Quantiser, dims: int) -> dict[int, int]:
-    """Members of each list (at most MOST_LISTS rows)."""
+def _sizes(unit: DataFrame, own: Quantiser, dims: int) -> dict[int, tuple[int, float]]:
+    """Members of each list, and their greatest distance from its centroid (at most MOST_LISTS rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, n = np.unique(assign(matrix(b.column(1), dims), own.centroids), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["l", "n"])
+            home, rest = own.residuals(matrix(b.column(1), dims))
+            k, n = np.unique(home, return_counts=True)
+            w = np.zeros(len(own.centroids))
+            np.maximum.at(w, home, np.sqrt((rest.astype(np.float64) ** 2).sum(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(w[k])], ["l", "n", "w"])
 
-    return {r[0]: r[1] for r in unit.mapInArrow(run, "l bigint, n bigint").groupBy("l").agg(F.sum("n")).collect()}
+    return {r[0]: (r[1], r[2]) for r in unit.mapInArrow(run, "l bigint, n bigint, w double").groupBy("l").agg(F.sum("n"), F.max("w")).collect()}

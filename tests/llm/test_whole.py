@@ -3,9 +3,10 @@
 from collections import Counter
 from math import log
 
+import numpy as np
 from test_operators import WORD, lower, read
 
-from pathloom.llm import pii
+from pathloom.llm import embeddings, pii
 
 # 9
 
@@ -30,3 +31,18 @@ def test_terms_far_from_an_entity(spark):
     rows = [(0, "rarity " + "and so on " * 40 + "call +1 (555) 123-4567")] + [(i, "and so on call") for i in range(1, 50)]
     (got,) = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert got.n_removed + got.n_generalised == 1 and "rarity" not in got.sanitized and "and so on" in got.sanitized
+
+
+# 10
+
+
+def test_pairs_of_few_intrinsic_dimensions(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(4000, 5)) @ np.linalg.qr(rng.normal(size=(384, 5)))[0].T).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit.astype(float) @ unit.T.astype(float)
+    want = {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(cos >= 0.95 + 1e-6))) if i < j}
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = {(r.vec_a, r.vec_b) for r in embeddings.embedding_pairs(df).collect()}
+    assert want <= got and all(cos[p] >= 0.95 - 1e-6 for p in got)
+    assert len(got & want) > 1000
