@@ -4,12 +4,13 @@ A notice of k allowed edits is split into k + 1 pieces; wherever it occurs with
 edits, one piece occurs exactly. One automaton finds all pieces of all notices; around each
 find, the window in which the whole notice would lie (k characters wider at both ends) is
 searched by the regex library for the best match within k edits (insertions, deletions,
-substitutions). Windows of a notice that overlap are searched as one. Case is ignored for
+substitutions), and what lies before and after that match is searched in the same way. Windows
+of a notice that overlap are searched as one. Case is ignored for
 ASCII letters, and each white space character counts as a blank.
 
 Defined cases: a null or empty text has no spans; rows are taken one by one, so repeated rows
 each give theirs; of matches of one notice that overlap, the regex library's leftmost best is
-given, and where notices of different licenses overlap, those of the fewest edits; other
+given, and matches beside it too, and where notices of different licenses overlap, those of the fewest edits; other
 columns are not read.
 """
 
@@ -70,6 +71,15 @@ class Finder:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
+    def _matches(self, i: int, low: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, edits) of the notice in the window: the best match, then those before and after it."""
+        shortest, parts = len(self.notices[i]) - self.edits[i], [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            if b - a >= shortest and (m := self.search[i].search(low, a, b)):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                parts += [(a, m.start()), (m.end(), b)]
+
     def spans(self, text: str) -> list[tuple[str, int, int, int]]:
         """(license, start, end, edits), by license and start."""
         low, windows = plain(text), {}
@@ -88,8 +98,7 @@ class Finder:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in self.search[i].finditer(low, a, b):
-                    out.append((self.names[i], m.start(), m.end(), sum(m.fuzzy_counts)))
+                out += sorted((self.names[i], *found) for found in self._matches(i, low, a, b))
         return [x for x in out if not any(y[3] < x[3] and y[0] != x[0] and y[1] < x[2] and x[1] < y[2] for y in out)]
 
 
