@@ -1,13 +1,14 @@
 """Secret scans by corpus-wide ownership frequency.
 
-Candidates are quoted values assigned to a credential's name and values of known token forms.
+Candidates are values of any length assigned to a credential's name, quoted or bare, and values of
+known token forms. A bare value ends at white space, the text's end or a mark such as a comma.
 Each is hashed, and its hash counted over the whole corpus by documents, distinct repositories
 and distinct owners (a repository ``owner/name`` belongs to ``owner``; without a slash it is
-its own owner). A value that many repositories hold is an example that was copied; one that
-looks random and belongs to a single owner is a live-looking credential.
+its own owner). A value that many owners hold is an example that was copied; one that looks
+random and belongs to a single owner, in however many repositories, is a live-looking credential.
 
 Verdicts: ``placeholder`` (few distinct characters, no digit, or a word such as example),
-else ``copied_example`` (``spread`` repositories or more), ``owner_specific`` (one owner),
+else ``owner_specific`` (one owner), ``copied_example`` (``spread`` owners or more),
 ``shared`` (the rest).
 
 Defined cases: a null or empty text has no candidates; a null source is one unnamed
@@ -59,7 +60,7 @@ def _ownership(postings: DataFrame, spread: int, variety: int) -> DataFrame:
     counted = by_owner.groupBy("kind", "value").agg(F.sum("d").alias("n_docs"), F.sum("r").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
     v = F.col("value")
     weak = (F.size(F.array_distinct(F.split(v, ""))) < variety) | ~v.rlike("[0-9]") | v.rlike(PLACEHOLDER)
-    return counted.withColumn("verdict", F.when(weak, "placeholder").when(F.col("n_repos") >= spread, "copied_example").when(F.col("n_owners") == 1, "owner_specific").otherwise("shared"))
+    return counted.withColumn("verdict", F.when(weak, "placeholder").when(F.col("n_owners") == 1, "owner_specific").when(F.col("n_owners") >= spread, "copied_example").otherwise("shared"))
 
 
 def secret_ownership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", spread: int = SPREAD, variety: int = VARIETY) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Notices beside each other, in texts."""
+"""Notices beside each other, and credentials by owners, in texts."""
 
 import random
 
-from pathloom.llm import licenses
+from pathloom.llm import licenses, secrets
 
 # 3
 
@@ -22,3 +22,15 @@ def test_adjacent_notices():
                 want.append((name, len(text), len(text) + len(notice), e))
                 text += "".join(chars) + "\n"
             assert [s for s in find(text) if s[0] == name] == want
+
+
+# 1
+
+
+def test_one_owner_of_many_repositories(spark):
+    own, hot = "q9w8e7r6t5y4u3i2o1p0", "a1b2c3d4e5f6a7b8c9d0"
+    rows = [(i, f'token = "{own}"', f"me/r{i}") for i in range(5)] + [(10 + i, f'token = "{hot}"', f"o{i}/r") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_repos, r.n_owners, r.verdict) for r in secrets.secret_ownership(df).collect()}
+    assert got == {i: (5, 1, "owner_specific") if i < 5 else (3, 3, "copied_example") for i, *_ in rows}
+    assert all((own in r.text) is False and (hot in r.text) is (r.doc_id >= 10) for r in secrets.mask_live_secrets(df).collect())
