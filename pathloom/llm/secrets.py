@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import checkpointed
 
-ASSIGNED = r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']([A-Za-z0-9+/=_.-]{16,200})["']"""
-FORMS = r"(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,60}|sk_live_[A-Za-z0-9]{16,64}|AIza[0-9A-Za-z_-]{35})"
+_NAMED = r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]"""
+ASSIGNED = _NAMED + r"""\s*["']([A-Za-z0-9+/=_.-]{16,})["']"""
+BARE = _NAMED + r"""[ \t]*([A-Za-z0-9+/_.-][A-Za-z0-9+/=_.-]{14,}[A-Za-z0-9+/=_-])(?=\.?(?:[\s,;)}\]&<#]|$))"""
+FORMS = r"(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})"
 PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your|dummy|xxxx|0000|12345"
 VARIETY, SPREAD = 8, 3
 MASK = "[SECRET]"
@@ -44,8 +46,8 @@ def candidates(text: Column) -> Column:
         found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    named = any_of(text, ('"', "'")) & any_of(F.lower(text), _NAMES)
-    return F.concat(each("assigned", ASSIGNED, named), each("token_form", FORMS, any_of(text, _STARTS)))
+    named = any_of(F.lower(text), _NAMES)
+    return F.concat(each("assigned", ASSIGNED, named & any_of(text, ('"', "'"))), each("assigned", BARE, named), each("token_form", FORMS, any_of(text, _STARTS)))
 
 
 def _postings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -70,11 +72,14 @@ def secret_ownership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return rows.select("doc_id", "repo", "kind", F.sha2("value", 256).alias("secret_hash"), "n_occurrences", "n_docs", "n_repos", "n_owners", "verdict")
 
 
+#: The patterns of SQL, which is older: quoted values of up to 200 characters, forms of limited length.
+_SQL_ASSIGNED = r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']([A-Za-z0-9+/=_.-]{16,200})["']"""
+_SQL_FORMS = r"(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,60}|sk_live_[A-Za-z0-9]{16,64}|AIza[0-9A-Za-z_-]{35})"
 SQL = f"""
 WITH found AS (
-  SELECT doc_id, coalesce(source, '') AS repo, 'assigned' AS kind, unnest(regexp_extract_all(text, '{ASSIGNED.replace("'", "''")}', 1)) AS value FROM documents
+  SELECT doc_id, coalesce(source, '') AS repo, 'assigned' AS kind, unnest(regexp_extract_all(text, '{_SQL_ASSIGNED.replace("'", "''")}', 1)) AS value FROM documents
   UNION ALL
-  SELECT doc_id, coalesce(source, '') AS repo, 'token_form' AS kind, unnest(regexp_extract_all(text, '{FORMS}', 1)) AS value FROM documents
+  SELECT doc_id, coalesce(source, '') AS repo, 'token_form' AS kind, unnest(regexp_extract_all(text, '{_SQL_FORMS}', 1)) AS value FROM documents
 ), posted AS (
   SELECT doc_id, repo, split_part(repo, '/', 1) AS owner, kind, value, count(*) AS n_occurrences FROM found GROUP BY ALL
 ), counted AS (

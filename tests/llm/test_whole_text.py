@@ -1,7 +1,10 @@
 """Notices beside each other, and credentials by owners, in texts."""
 
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from pathloom.llm import licenses, secrets
 
 # 3
@@ -34,3 +37,17 @@ def test_one_owner_of_many_repositories(spark):
     got = {r.doc_id: (r.n_repos, r.n_owners, r.verdict) for r in secrets.secret_ownership(df).collect()}
     assert got == {i: (5, 1, "owner_specific") if i < 5 else (3, 3, "copied_example") for i, *_ in rows}
     assert all((own in r.text) is False and (hot in r.text) is (r.doc_id >= 10) for r in secrets.mask_live_secrets(df).collect())
+
+
+def test_long_and_bare_values(spark):
+    random.seed(6)
+    long = "".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(500))
+    bare = "Zq9w8e7r6t5y4u3i2o1p0"
+    texts = [f'token = "{long}"', f"PORT=80\nAPI_KEY={bare}\nMODE=on", f"password: {bare}x", f"see sk_live_{long} there", f"see xoxb-{long} there", f"auth={bare}y.", "the author = someone, and token = request(12345678901234567890) or auth: see below"]
+    values = [long, bare, bare + "x", "sk_live_" + long, "xoxb-" + long, bare + "y"]
+    df = spark.createDataFrame([(i, t, f"o{i}/r") for i, t in enumerate(texts)], "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: (r.secret_hash, r.verdict) for r in secrets.secret_ownership(df).collect()}
+    assert got == {i: (hashlib.sha256(v.encode()).hexdigest(), "owner_specific") for i, v in enumerate(values)}
+    masked = {r.doc_id: r for r in secrets.mask_live_secrets(df).collect()}
+    assert [masked[i].text for i in range(7)] == [t.replace(v, "[SECRET]") for t, v in zip(texts, [*values, "\0"])]
+    assert all(r.n_chars == len(r.text) for r in masked.values())
