@@ -7,7 +7,8 @@ and runs of words shorter than the shortest phrase are left out; both leave ever
 as it is. Over that text stand a suffix array, its Burrows-Wheeler transform in a wavelet
 matrix, and suffix positions sampled at every eighth word of a run. All phrases are searched
 backward at once; rows found are walked to a sample. Overlapping or touching occurrences of a
-document merge into one removal span, given in characters.
+document merge into one removal span, given in characters. Test items beyond ``ITEMS_AT_ONCE``
+are searched in groups, all in the text as it came; occurrences are merged when all are found.
 
 Defined cases: null and empty texts and items have no occurrences; rows are taken one by one,
 so repeated rows each give their spans; a null id is carried as null; no rows in give no rows
@@ -22,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from pathloom.llm.common import U64, char_offsets, chunks, runs, text_buffer, word_hashes, words
 
@@ -161,8 +164,8 @@ class Phrases:
         return out
 
 
-def shard_spans(texts: list[tuple[np.ndarray, np.ndarray]], phrases: Phrases) -> list[tuple[int, int, int, int, list]]:
-    """Of a shard (batches of bytes and offsets): (row, start, end, occurrences, items) in characters, by row and start."""
+def shard_occurrences(texts: list[tuple[np.ndarray, np.ndarray]], phrases: Phrases) -> dict[int, list[tuple[int, int, list]]]:
+    """Of a shard (batches of bytes and offsets), by row: (start, end, items) of each occurrence, in characters."""
     parts, doc, first, last, row = [np.zeros(1, np.int64)], [[-1]], [[0]], [[0]], 0
     for data, off in texts:
         for i, j in chunks(off):
@@ -188,37 +191,47 @@ def shard_spans(texts: list[tuple[np.ndarray, np.ndarray]], phrases: Phrases) ->
         row += len(off) - 1
     text = np.concatenate(parts)
     if len(text) == 1:
-        return []
+        return {}
     doc, first, last = map(np.concatenate, (doc, first, last))
     index = FMIndex(text, len(phrases.vocabulary))
     low, high = index.search(phrases.matrix, phrases.lengths)
     count = high - low
     hit = np.flatnonzero(count > 0)
     if not len(hit):
-        return []
+        return {}
     which = np.repeat(hit, count[hit])
     rows = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + np.repeat(low[hit], count[hit])
     at = index.locate(rows)
     stop = last[at + phrases.lengths[which] - 1]
-    order = np.lexsort((stop, first[at], doc[at]))
-    merged: list[list] = []
-    for k in order.tolist():
-        d, a, b, items = int(doc[at[k]]), int(first[at[k]]), int(stop[k]), phrases.items[which[k]]
-        if merged and merged[-1][0] == d and a <= merged[-1][2]:
-            merged[-1][2] = max(merged[-1][2], b)
-            merged[-1][3] += 1
-            merged[-1][4].update(items)
-        else:
-            merged.append([d, a, b, 1, set(items)])
+    order = np.argsort(doc[at], kind="stable")
+    owner = doc[at][order]
+    cut = np.flatnonzero(np.diff(owner, prepend=-2))
     bases = np.cumsum([0] + [len(off) - 1 for _, off in texts])
-    done = []
-    for d, a, b, n, items in merged:
+    found = {}
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(owner)]):
+        d, own = int(owner[i]), order[i:j]
         t = int(np.searchsorted(bases, d, "right")) - 1
         data, off = texts[t]
         k = d - bases[t]
-        a, b = char_offsets(data[off[k] : off[k + 1]], np.array([a, b])).tolist()
-        done.append((d, a, b, n, sorted(x for x in items if x is not None)))
-    return done
+        a, b = char_offsets(data[off[k] : off[k + 1]], np.stack([first[at[own]], stop[own]])).tolist()
+        found[d] = [(*x, phrases.items[p]) for *x, p in zip(a, b, which[own].tolist())]
+    return found
+
+
+def merged(found: list[tuple[int, int, list]]) -> list[list]:
+    """Of a text's occurrences: [start, end, occurrences, items] of the removal spans. What stands at one place is one phrase, whichever groups have it."""
+    places: dict[tuple[int, int], set] = {}
+    for a, b, items in found:
+        places.setdefault((a, b), set()).update(items)
+    out: list[list] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+            out[-1][2] += 1
+            out[-1][3].update(places[a, b])
+        else:
+            out.append([a, b, 1, set(places[a, b])])
+    return [[a, b, n, sorted(x for x in items if x is not None)] for a, b, n, items in out]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[pa.RecordBatch]]:
@@ -242,27 +255,54 @@ def _passes(items: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
 
 
 SPANS = "doc_id bigint, span_start int, span_end int, n_phrases int, items array<bigint>"
+FOUND = "__found"
+_FOUND = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("items", pa.list_(pa.int64()))]))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, phrases: Phrases, more: bool) -> Iterator[tuple[pa.RecordBatch, dict[int, list]]]:
+    """Batches and by row what was found in their column k; with more, the last column, of what other groups found, is taken off and added."""
+    for held in _shards(batches, k):
+        found, row = shard_occurrences([text_buffer(b.column(k)) for b in held], phrases) if len(phrases.lengths) else {}, 0
+        for b in held:
+            own = {d - row: s for d, s in found.items() if row <= d < row + b.num_rows}
+            row += b.num_rows
+            if more:
+                for d, s in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                    if s:
+                        own.setdefault(d, []).extend((x["a"], x["b"], x["items"]) for x in s)
+                b = b.select(range(b.num_columns - 1))
+            yield b, own
+
+
+def _all_but_last(docs: DataFrame, k: int, groups: list[list[tuple]], n: int, shortest: int) -> tuple[DataFrame, Phrases, bool]:
+    """docs, with what all groups but the last find in column k as a last column; the last group's phrases; and whether there are others."""
+    out = docs
+    for g, group in enumerate(groups[:-1]):
+        phrases = Phrases(group, n, shortest)
+
+        def add(batches, phrases=phrases, more=g > 0):
+            for b, own in _searched(batches, k, phrases, more):
+                found = [[{"a": a, "b": z, "items": list(x)} for a, z, x in own[d]] if d in own else None for d in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _FOUND)], [*b.schema.names, FOUND])
+
+        out = out.mapInArrow(add, StructType([*docs.schema.fields, StructField(FOUND, from_arrow_type(_FOUND))]))
+    return out, Phrases(groups[-1], n, shortest), len(groups) > 1
 
 
 def contamination_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, shortest: int = SHORTEST) -> DataFrame:
     """A row for each removal span: doc_id, span_start and span_end in characters, n_phrases found in it, the items they are of."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for group in _passes(items, item_id, item_text):
-        phrases = Phrases(group, n, shortest)
+    source, phrases, more = _all_but_last(source, 1, _passes(items, item_id, item_text), n, shortest)
 
-        def spans(batches, phrases=phrases):
-            for held in _shards(batches, 1):
-                found = shard_spans([text_buffer(b.column(1)) for b in held], phrases) if len(phrases.lengths) else []
-                ids = [x for b in held for x in b.column(0).to_pylist()] if found else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[f[0]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.int32()) for k in (1, 2, 3)), pa.array([f[4] for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "span_start", "span_end", "n_phrases", "items"],
-                )
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, own in _searched(batches, 1, phrases, more):
+            ids = b.column(0).to_pylist() if own else []
+            found = [(ids[d], *x) for d in sorted(own) for x in merged(own[d])]
+            cols = list(zip(*found)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "span_start", "span_end", "n_phrases", "items"])
 
-        part = source.mapInArrow(spans, SPANS)
-        out = part if out is None else out.unionAll(part)
-    return out
+    return source.mapInArrow(spans, SPANS)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text", n: int = N, shortest: int = SHORTEST) -> DataFrame:
@@ -272,34 +312,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars
     """
     k = [c.lower() for c in docs.columns].index(text.lower())
     m = next((i for i, c in enumerate(docs.columns) if c.lower() == n_chars.lower()), None)
-    out = docs
-    for group in _passes(items, item_id, item_text):
-        phrases = Phrases(group, n, shortest)
-
-        def cut(batches, phrases=phrases):
-            for held in _shards(batches, k):
-                found: dict[int, list] = {}
-                for d, a, b, *_ in shard_spans([text_buffer(b.column(k)) for b in held], phrases) if len(phrases.lengths) else []:
-                    found.setdefault(d, []).append((a, b))
-                row = 0
-                for b in held:
-                    own = {d - row: s for d, s in found.items() if row <= d < row + b.num_rows}
-                    row += b.num_rows
-                    if own:
-                        texts, keep = b.column(k).to_pylist(), np.ones(b.num_rows, bool)
-                        size = b.column(m).to_pylist() if m is not None else None
-                        for d, spans in own.items():
-                            for a, z in reversed(spans):
-                                texts[d] = texts[d][:a] + texts[d][z:]
-                            keep[d] = len(word_hashes(texts[d])) > 0
-                            if size:
-                                size[d] = len(texts[d])
-                        cols = list(b.columns)
-                        cols[k] = pa.array(texts, b.schema.field(k).type)
-                        if size:
-                            cols[m] = pa.array(size, b.schema.field(m).type)
-                        b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
-                    yield b
-
-        out = out.mapInArrow(cut, docs.schema)
-    return out
+    source, phrases, more = _all_but_last(docs, k, _passes(items, item_id, item_text), n, shortest)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, own in _searched(batches, k, phrases, more):
+            if own:
+                texts, keep = b.column(k).to_pylist(), np.ones(b.num_rows, bool)
+                size = b.column(m).to_pylist() if m is not None else None
+                for d, found in own.items():
+                    for a, z, *_ in reversed(merged(found)):
+                        texts[d] = texts[d][:a] + texts[d][z:]
+                    keep[d] = len(word_hashes(texts[d])) > 0
+                    if size:
+                        size[d] = len(texts[d])
+                cols = list(b.columns)
+                cols[k] = pa.array(texts, b.schema.field(k).type)
+                if size:
+                    cols[m] = pa.array(size, b.schema.field(m).type)
+                b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
+            yield b
+
+    return source.mapInArrow(cut, docs.schema)
