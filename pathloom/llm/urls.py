@@ -3,13 +3,14 @@
 1. Each URL's path is cut into segments; in a segment, each run of digits and each long run of
    hexadecimal digits becomes a placeholder. URLs are then counted by host and path, so the
    steps below work on paths and not on pages.
-2. From the root down, one level of all hosts' trees at a time: where a node has more than
-   ``many`` children, of which none holds half of its pages, they are variable and become one
-   wildcard ``*``.
-3. At the same level, statistically similar siblings merge: a child whose labelled share of
-   bad pages lies within ``alike`` standard errors of its parent's (or without labels)
-   joins its like under ``+``; a child that differs stays by itself.
-   Levels beyond ``levels`` are one tail ``**``.
+2. From the root down, one level of all hosts' trees at a time, statistically similar siblings
+   merge: a child whose labelled share of bad pages lies within ``alike`` standard errors of its
+   parent's (or without labels) joins its like under ``+``; a child that differs stays by itself.
+3. Where a node has more than ``many`` children, of which none holds half of its pages, they are
+   variable and become one wildcard ``*``, but for children that differ. As among many some lie
+   apart by chance, such a child must also be less likely than one in as many: its labels times
+   the divergence of its share from the parent's exceed alike^2 / 2 + ln(children) (Chernoff).
+   Beyond ``levels``, a path is named as far down as a branch differs; the rest is one tail ``**``.
 4. A template's purity is (bad + weight * prior) / (labelled + weight), with the corpus's share
    of bad labels as prior; it is rejected from ``purest`` on.
 
@@ -21,9 +22,13 @@ nothing is rejected; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import checkpointed
+
 LEVELS, MANY, ALIKE, WEIGHT, PUREST = 4, 12, 2.0, 4.0, 0.5
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)?([^?#]*)"
@@ -40,22 +45,57 @@ def _labelled(pages: DataFrame, labels: DataFrame, page_id: str, url: str, label
     return own.join(marks, "k", "left").select("page_id", "host", "segs", "bad")
 
 
+def _level(tree: DataFrame, level: int, many: int, alike: float) -> DataFrame:
+    """The tree with the next level's names added to its nodes; kept is the last level at which a branch differs."""
+    here = tree.withColumn("seg", F.when(F.size("segs") > level, F.element_at("segs", level + 1)))
+    child = here.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
+    of = Window.partitionBy("host", "node")
+    about = child.select("host", "node", "seg", "n", "l", "b", F.count(F.lit(1)).over(of).alias("children"), F.sum("n").over(of).alias("pn"), F.max("n").over(of).alias("top"), F.sum("l").over(of).alias("pl"), F.sum("b").over(of).alias("pb"))
+    over = lambda x, y: x / F.nullif(y, F.lit(0))
+    share, own = over(F.col("pb"), F.col("pl")), over(F.col("b"), F.col("l"))
+    differs = (F.col("children") > 1) & (F.col("l") > 0) & (F.abs(own - share) > alike * F.sqrt(over(share * (1 - share), F.col("l"))))
+    variable = (F.col("children") > many) & (F.col("top") * 2 < F.col("pn"))
+    part = lambda x, y: F.when(x > 0, x * F.log(over(x, y))).otherwise(0.0)
+    sure = F.col("l") * (part(own, share) + part(1 - own, 1 - share)) > alike * alike / 2 + F.log("children")
+    apart = F.coalesce(differs & (~variable | sure), F.lit(False))
+    named = about.select("host", "node", "seg", apart.alias("apart"), F.when(apart, F.col("seg")).when(variable, "*").when(F.col("children") == 1, F.col("seg")).otherwise("+").alias("name"))
+    node = F.concat("node", F.when(F.col("name").isNull(), "").otherwise(F.concat(F.lit("/"), "name")))
+    kept = F.when(F.coalesce("apart", F.lit(False)), level + 1).otherwise(F.col("kept"))
+    return here.join(named, ["host", "node", "seg"], "left").select("host", "segs", "n", "l", "b", node.alias("node"), kept.alias("kept"))
+
+
+def _deeper(tree: DataFrame, levels: int, many: int, alike: float) -> DataFrame:
+    """The tree of levels, with name and kept of each path as far down as a branch differs.
+
+    Only paths of nodes with both good and bad labels are followed, as no branch of others can differ.
+    """
+    done, level = [tree.where(F.size("segs") <= levels)], levels
+    tree = tree.where(F.size("segs") > levels)
+    while True:
+        of = Window.partitionBy("host", "node")
+        mixed = (F.sum("b").over(of) > 0) & (F.sum("b").over(of) < F.sum("l").over(of))
+        tree = checkpointed(tree.withColumn("open", mixed & (F.size("segs") > level)))
+        done.append(tree.where("NOT open").drop("open"))
+        tree = tree.where("open").drop("open")
+        if tree.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        names = tree.select("host", "segs", "name")
+        deep = _level(tree.drop("name"), level, many, alike).join(names, ["host", "segs"])
+        level += 1
+        tree = deep.withColumn("name", F.when(F.col("kept") == level, F.col("node")).otherwise(F.col("name")))
+
+
 def url_templates(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", levels: int = LEVELS, many: int = MANY, alike: float = ALIKE, weight: float = WEIGHT, purest: float = PUREST) -> DataFrame:
     """A row for each page: page_id, host, template, n_pages, n_labelled, n_bad, purity, rejected. The label's key is the last number of the URL's path."""
     each = _labelled(pages, labels, page_id, url, label_id, bad)
     paths = each.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    tree = paths.withColumn("node", F.lit(""))
+    tree = paths.withColumns({"node": F.lit(""), "kept": F.lit(0)})
     for level in range(levels):
-        here = tree.withColumn("seg", F.when(F.size("segs") > level, F.element_at("segs", level + 1)))
-        child = here.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
-        of = Window.partitionBy("host", "node")
-        about = child.select("host", "node", "seg", "n", "l", "b", F.count(F.lit(1)).over(of).alias("children"), F.sum("n").over(of).alias("pn"), F.max("n").over(of).alias("top"), F.sum("l").over(of).alias("pl"), F.sum("b").over(of).alias("pb"))
-        share = F.col("pb") / F.col("pl")
-        differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.col("l") - share) > alike * F.sqrt(share * (1 - share) / F.col("l")))
-        variable = (F.col("children") > many) & (F.col("top") * 2 < F.col("pn"))
-        named = about.select("host", "node", "seg", F.when(variable, "*").when(F.col("children") == 1, F.col("seg")).when(F.coalesce(differs, F.lit(False)), F.col("seg")).otherwise("+").alias("name"))
-        tree = here.join(named, ["host", "node", "seg"], "left").select("host", "segs", "n", "l", "b", F.concat("node", F.when(F.col("name").isNull(), "").otherwise(F.concat(F.lit("/"), "name"))).alias("node"))
-    tree = tree.withColumn("node", F.concat("node", F.when(F.size("segs") > levels, "/**").otherwise("")))
+        tree = _level(tree, level, many, alike)
+    tree = tree.withColumns({"name": F.col("node"), "kept": F.least(F.size("segs"), F.lit(levels))})
+    if (each.agg(F.max(F.size("segs"))).first()[0] or 0) > levels:
+        tree = _deeper(checkpointed(tree), levels, many, alike)
+    tree = tree.select("host", "segs", "n", "l", "b", F.concat("name", F.when(F.size("segs") > F.col("kept"), "/**").otherwise("")).alias("node"))
     total = tree.agg(F.sum("b").alias("tb"), F.sum("l").alias("tl"))
     template = tree.groupBy("host", "node").agg(F.sum("n").alias("n_pages"), F.sum("l").alias("n_labelled"), F.sum("b").alias("n_bad")).crossJoin(total)  # one row
     prior = F.when(F.col("tl") > 0, F.col("tb") / F.col("tl")).otherwise(0.0)
