@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.errors import BadRequest, Conflict
+from pathloom.operators.predicates import CLOCK, ZONE
 from pathloom.plans.model import Table
 
 
@@ -38,6 +39,8 @@ def check_types(table: Table, rows: DataFrame) -> None:
     for c in table.columns.values():
         if c.type.name == "color_rgb_hex" and not c.type.array and some(rows.where(~F.col(f"`{c.name}`").rlike("^#[0-9a-fA-F]{6}$"))):
             raise Conflict(f"{c.name} must be a colour")
+        if c.type.name in ("time", "timetz") and not c.type.array and some(rows.where(~F.col(f"`{c.name}`").rlike(f"^{CLOCK}{ZONE if c.type.name == 'timetz' else ''}$"))):
+            raise Conflict(f"{c.name} must be a time of day")
     need = [c.name for c in table.columns.values() if not c.nullok]
     if need and some(rows.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNull() for c in need)))):
         raise Conflict(f"one of {need} is null")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -14,11 +17,26 @@ from pathloom.errors import BadRequest
 from pathloom.functions import rid
 from pathloom.functions.text import as_text
 from pathloom.plans import syntax as S
-from pathloom.plans.model import FLOATS, INTS, Type
+from pathloom.plans.model import FLOATS, INTS, TIMES, Type
 
 COMPARE: dict[str, Callable[[Column, Column], Column]] = {"=": lambda a, b: a == b, "geq": lambda a, b: a >= b, "gt": lambda a, b: a > b, "leq": lambda a, b: a <= b, "lt": lambda a, b: a < b}
 
 
+WIDTHS = {"int2": 16, "serial2": 16, "int4": 32, "serial4": 32, "int8": 64, "serial8": 64, "oid": 64}
+CLOCK, ZONE = r"([01]\d|2[0-4]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?", r"(Z|[+-]\d\d(:?\d\d)?)?"
+
+
+def moment(value: str) -> str:
+    """A date or time as Spark casts it, or a ValueError; a day or month of one digit and a missing day are filled up."""
+    m = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2})(.*))?)?", value.strip())
+    if not m:
+        raise ValueError(value)
+    day, rest = f"{m[1]}-{int(m[2] or 1):02}-{int(m[3] or 1):02}", m[4] or ""
+    rest = re.sub(r"([+-]\d\d)(\d\d)$", r"\1:\2", rest)
+    datetime.fromisoformat(day + rest)
+    return day + rest
+
+
 def literal(value: str | None, kind: Type) -> Column:
     """A value from the path, as the element type of a column."""
     base = Type(kind.name)
@@ -26,13 +44,21 @@ def literal(value: str | None, kind: Type) -> Column:
         return F.lit(None).cast(base.spark)
     try:
         if base.name in INTS:
+            if not -(1 << WIDTHS[base.name] - 1) <= int(value) < 1 << WIDTHS[base.name] - 1:
+                raise ValueError(value)
             return F.lit(int(value)).cast(base.spark)
         if base.name in FLOATS or base.name == "numeric":
             float(value)
+            if base.name == "numeric" and abs(Decimal(value)) >= 10**20:
+                raise ValueError(value)
             return F.lit(value).cast(base.spark)
         if base.name in ("json", "jsonb"):
             return F.lit(json.dumps(json.loads(value), sort_keys=True, separators=(",", ":")))
-    except ValueError as e:
+        if base.name in TIMES:
+            return F.lit(moment(value)).cast(base.spark)
+        if base.name in ("time", "timetz") and not re.fullmatch(CLOCK + (ZONE if base.name == "timetz" else ""), value):
+            raise ValueError(value)
+    except (ValueError, ArithmeticError) as e:
         raise BadRequest(f"{value!r} is not of type {base.name}") from e
     if base.name == "boolean":
         if value.lower() not in ("t", "true", "f", "false", "yes", "no", "on", "off", "1", "0"):

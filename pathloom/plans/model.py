@@ -22,16 +22,19 @@ SYSTEM = ("RID", "RCT", "RMT", "RCB", "RMB")
 
 @dataclass
 class Type:
-    """A base type, or an array of one."""
+    """A base type, or an array of one; scale is that of a numeric type declared with one."""
 
     name: str
     array: bool = False
+    scale: int | None = None
 
     @classmethod
     def of(cls, text: str) -> "Type":
         array = text.endswith("[]")
         base = text[:-2] if array else text
         base = ALIASES.get(base.lower(), base)
+        if m := re.fullmatch(r"(?:numeric|decimal)(?:\(\d+, *(\d+)\))?", base.lower()):
+            return cls("numeric", array, int(m[1]) if m[1] else None)
         if m := re.fullmatch(r"[a-z]+_(uri|curie|rid|rct|rmt|rcb|rmb)", base):  # domains of identifiers and system columns, whatever their prefix
             base = f"row_{m[1]}"
         if base not in SPARK:
@@ -41,14 +44,19 @@ class Type:
     @classmethod
     def of_spark(cls, kind: T.DataType) -> "Type":
         if isinstance(kind, T.ArrayType):
-            return cls(cls.of_spark(kind.elementType).name, True)
+            element = cls.of_spark(kind.elementType)
+            return cls(element.name, True, element.scale)
         names = {T.BooleanType: "boolean", T.ByteType: "int2", T.ShortType: "int2", T.IntegerType: "int4", T.LongType: "int8", T.FloatType: "float4", T.DoubleType: "float8", T.DecimalType: "numeric", T.DateType: "date", T.TimestampType: "timestamptz", T.TimestampNTZType: "timestamp"}
-        return cls(names.get(type(kind), "text"))
+        return cls(names.get(type(kind), "text"), scale=kind.scale if isinstance(kind, T.DecimalType) else None)
 
     @property
     def spark(self) -> str:
         return f"array<{SPARK[self.name]}>" if self.array else SPARK[self.name]
 
+    @property
+    def declared(self) -> str:
+        return self.name + (f"(38,{self.scale})" if self.scale is not None else "") + "[]" * self.array
+
     @property
     def numeric(self) -> bool:
         return not self.array and (self.name in INTS or self.name in FLOATS or self.name == "numeric")
@@ -185,6 +193,24 @@ class Model:
             raise Conflict("the table has this key")
         table.keys.append(key)
 
+    def drop_key(self, table: Table, columns: tuple[str, ...]) -> None:
+        """A key, enforced or not, that no enforced foreign key needs."""
+        key = next((k for k in table.keys if set(k.columns) == set(columns)), None)
+        if key is None:
+            raise NotFound(f"no key ({', '.join(columns)}) in {table.name}")
+        if any(f.enforced and set(f.target_columns) == set(columns) for _, f in self.references(table)):
+            raise Conflict("a foreign key refers to this key")
+        table.keys.remove(key)
+
+    def fkey(self, table: Table, columns: tuple[str, ...], target: tuple[str, str] | None = None) -> ForeignKey:
+        found = [f for f in table.fkeys if set(f.columns) == set(columns) and target in (None, f.target)]
+        if len(found) != 1:
+            raise NotFound(f"{'no' if not found else 'more than one'} foreign key ({', '.join(columns)}) in {table.name}")
+        return found[0]
+
+    def drop_fkey(self, table: Table, columns: tuple[str, ...], target: tuple[str, str] | None = None) -> None:
+        table.fkeys.remove(self.fkey(table, columns, target))
+
     def add_fkey(self, table: Table, fkey: ForeignKey) -> None:
         target = self.table(*fkey.target)
         if len(fkey.columns) != len(fkey.target_columns) or not fkey.columns:
@@ -202,12 +228,12 @@ class Model:
 
     @staticmethod
     def table_of(doc: dict, schema: str) -> Table:
-        t = Table(doc.get("schema_name", schema), doc["table_name"], kind=doc.get("kind", "table"), comment=doc.get("comment"), annotations=doc.get("annotations", {}), acls=doc.get("acls", {}), acl_bindings=doc.get("acl_bindings", {}))
+        t = Table(doc.get("schema_name", schema), doc["table_name"], kind=doc.get("kind", "table"), comment=doc.get("comment"), annotations=doc.get("annotations", {}), acls=doc.get("acls", {}), acl_bindings=doc.get("acl_bindings", {}), history=doc.get("history", True))
         for c in doc.get("column_definitions", []):
             kind = c["type"]["typename"] if isinstance(c["type"], dict) else c["type"]
             t.columns[c["name"]] = Column(c["name"], Type.of(kind), c.get("nullok", True), c.get("default"), c.get("comment"), c.get("annotations", {}), c.get("acls", {}), c.get("acl_bindings", {}))
         for k in doc.get("keys", []):
-            t.keys.append(Key(tuple(k["unique_columns"]), (k.get("names") or [None])[0], comment=k.get("comment"), annotations=k.get("annotations", {})))
+            t.keys.append(Key(tuple(k["unique_columns"]), (k.get("names") or [None])[0], k.get("enforced", True), comment=k.get("comment"), annotations=k.get("annotations", {})))
         for k in t.keys:
             for c in k.columns:
                 t.column(c)
@@ -218,7 +244,7 @@ class Model:
         out = []
         for f in doc.get("foreign_keys", []):
             target = f["referenced_columns"][0]
-            out.append(ForeignKey(tuple(c["column_name"] for c in f["foreign_key_columns"]), (target.get("schema_name", schema), target["table_name"]), tuple(c["column_name"] for c in f["referenced_columns"]), (f.get("names") or [None])[0], on_delete=f.get("on_delete", "NO ACTION"), on_update=f.get("on_update", "NO ACTION"), acls=f.get("acls", {}), acl_bindings=f.get("acl_bindings", {})))
+            out.append(ForeignKey(tuple(c["column_name"] for c in f["foreign_key_columns"]), (target.get("schema_name", schema), target["table_name"]), tuple(c["column_name"] for c in f["referenced_columns"]), (f.get("names") or [None])[0], f.get("enforced", True), on_delete=f.get("on_delete", "NO ACTION"), on_update=f.get("on_update", "NO ACTION"), acls=f.get("acls", {}), acl_bindings=f.get("acl_bindings", {})))
         return out
 
     def load(self, doc: dict) -> list[Table]:
@@ -238,10 +264,10 @@ class Model:
     def document(self) -> dict:
         def table(t: Table) -> dict:
             return {
-                "schema_name": t.schema, "table_name": t.name, "kind": t.kind, "comment": t.comment, "annotations": t.annotations, "acls": t.acls, "acl_bindings": t.acl_bindings,
-                "column_definitions": [{"name": c.name, "type": {"typename": c.type.name + "[]" * c.type.array}, "nullok": c.nullok, "default": c.default, "comment": c.comment, "annotations": c.annotations, "acls": c.acls, "acl_bindings": c.acl_bindings} for c in t.columns.values()],
-                "keys": [{"unique_columns": list(k.columns), "names": [k.name] if k.name else [], "comment": k.comment} for k in t.keys],
-                "foreign_keys": [{"foreign_key_columns": [{"schema_name": t.schema, "table_name": t.name, "column_name": c} for c in f.columns], "referenced_columns": [{"schema_name": f.target[0], "table_name": f.target[1], "column_name": c} for c in f.target_columns], "names": [f.name] if f.name else [], "on_delete": f.on_delete, "on_update": f.on_update} for f in t.fkeys],
+                "schema_name": t.schema, "table_name": t.name, "kind": t.kind, "history": t.history, "comment": t.comment, "annotations": t.annotations, "acls": t.acls, "acl_bindings": t.acl_bindings,
+                "column_definitions": [{"name": c.name, "type": {"typename": c.type.declared}, "nullok": c.nullok, "default": c.default, "comment": c.comment, "annotations": c.annotations, "acls": c.acls, "acl_bindings": c.acl_bindings} for c in t.columns.values()],
+                "keys": [{"unique_columns": list(k.columns), "names": [k.name] if k.name else [], "enforced": k.enforced, "comment": k.comment, "annotations": k.annotations} for k in t.keys],
+                "foreign_keys": [{"foreign_key_columns": [{"schema_name": t.schema, "table_name": t.name, "column_name": c} for c in f.columns], "referenced_columns": [{"schema_name": f.target[0], "table_name": f.target[1], "column_name": c} for c in f.target_columns], "names": [f.name] if f.name else [], "enforced": f.enforced, "on_delete": f.on_delete, "on_update": f.on_update, "acls": f.acls, "acl_bindings": f.acl_bindings} for f in t.fkeys],
             }
 
         return {"acls": self.acls, "annotations": self.annotations, "schemas": {s.name: {"schema_name": s.name, "comment": s.comment, "annotations": s.annotations, "acls": s.acls, "tables": {t.name: table(t) for t in s.tables.values()}} for s in self.schemas.values()}}

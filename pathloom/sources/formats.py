@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.errors import BadRequest, Unsupported
-from pathloom.functions.text import as_text
+from pathloom.functions.text import as_text, scalar_text
 from pathloom.plans.model import Table, Type
 
 _FIELD = re.compile(r'(?P<quoted>"(?:[^"]|"")*"(?=,|\r?\n|$(?!\n)))?(?P<plain>(?(quoted)|[^,\r\n]*))(?P<end>,|\r?\n|$)')
@@ -99,16 +99,36 @@ def read_files(spark: SparkSession, table: Table, path: str, kind: str = LINES,
     raise Unsupported(f"{kind} is not supported")
 
 
-def _plain(c: Column, kind: T.DataType) -> Column:
-    """Bins as arrays [bucket, lower, upper]."""
-    if isinstance(kind, T.StructType) and kind.fieldNames() == ["bucket", "lower", "upper"]:
-        return F.array(*(c[f].cast("string") for f in kind.fieldNames()))
-    return c
+BIN = ["bucket", "lower", "upper"]
+
+
+def _bin_json(c: Column, kind: T.StructType) -> Column:
+    """A bin as the JSON text [bucket, lower, upper], with numbers as numbers and times as texts."""
+    def part(f: T.StructField) -> Column:
+        own = Type.of_spark(f.dataType)
+        text = scalar_text(c[f.name], own.name, own.scale)
+        return F.coalesce(text if own.numeric else F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
+
+    return F.concat(F.lit("["), F.concat_ws(",", *map(part, kind.fields)), F.lit("]"))
+
+
+def _is_bin(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and kind.fieldNames() == BIN
 
 
 def json_lines(df: DataFrame) -> DataFrame:
     """A column of objects, one a row; nulls are kept."""
-    return df.select(F.to_json(F.struct(*(_plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema)), {"ignoreNullFields": "false"}).alias("value"))
+    keep = {"ignoreNullFields": "false"}
+    if not any(_is_bin(f.dataType) for f in df.schema):
+        return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), keep).alias("value"))
+
+    def member(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if _is_bin(f.dataType):
+            return F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), _bin_json(c, f.dataType))
+        return F.regexp_replace(F.to_json(F.struct(c.alias(f.name)), keep), r"(?s)^\{|\}$", "")
+
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *map(member, df.schema.fields)), F.lit("}")).alias("value"))
 
 
 def csv_columns(df: DataFrame, arrays: str = "text") -> DataFrame:
@@ -119,7 +139,7 @@ def csv_columns(df: DataFrame, arrays: str = "text") -> DataFrame:
         if isinstance(f.dataType, T.ArrayType) and arrays != "json" and not isinstance(f.dataType.elementType, (T.ArrayType, T.StructType)):
             return as_text(c, Type.of_spark(f.dataType))
         if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            return F.to_json(_plain(c, f.dataType), {"ignoreNullFields": "false"})
+            return _bin_json(c, f.dataType) if _is_bin(f.dataType) else F.to_json(c, {"ignoreNullFields": "false"})
         return c.cast("string")
 
     return df.select(*(field(f).alias(f.name) for f in df.schema))
