@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,6 +13,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pathloom.errors import BadRequest, Conflict, Forbidden, NotFound
 from pathloom.functions import rid
@@ -21,7 +23,7 @@ from pathloom.operators.predicates import condition
 from pathloom.plans import syntax as S
 from pathloom.plans.model import SYSTEM, Column, ForeignKey, Key, Model, Table, Type
 from pathloom.plans.planner import Plan, ref
-from pathloom.sources.storage import settled
+from pathloom.sources.storage import STAGING, Folder, place, settled
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _SYMBOLS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -62,6 +64,12 @@ class Client:
         return self.id is None and set(self.roles) <= {"*"}
 
 
+#: Who calls a method without naming a client: the program itself, which is not anonymous.
+LOCAL = Client(roles=frozenset({"*", "local"}))
+#: Directories of a table after which a write makes one of them all.
+PARTS = 64
+
+
 @dataclass
 class Written:
     """What happened in a write, for whoever listens."""
@@ -72,18 +80,62 @@ class Written:
 
 
 class Catalog:
+    """A model and its tables' rows. With ``root``, both are kept in that folder, and a catalog that is made over a folder in use goes on where the last one stopped; tables that were registered and never written are registered again."""
+
     def __init__(self, spark: SparkSession, id: str = "1", root: str | None = None, require_primary_keys: bool = False, clock: Callable[[], datetime] | None = None):
-        self.spark, self.id, self.root, self.require_primary_keys = spark, id, root, require_primary_keys
+        self.spark, self.id, self.require_primary_keys = spark, id, require_primary_keys
+        self.folder = Folder(spark, root) if root else None
+        self.files: dict[tuple[str, str], list[str]] = {}
+        self.past_files: dict[tuple[str, str], list[str]] = {}
         self.model = Model()
         self.rows: dict[tuple[str, str], DataFrame] = {}
         self.past: dict[tuple[str, str], DataFrame] = {}
         self.models: list[tuple[datetime, Model]] = []
         self.changes: list[datetime] = []
         self.written: set[tuple[str, str]] = set()
+        self.created: set[tuple[str, str]] = set()
         self.listeners: list[Callable[[Written], None]] = []
         self.leases: DataFrame | None = None
         self.next_rid, self.version = 1, 0
         self.clock = clock or (lambda: datetime.now(timezone.utc))
+        if self.folder and (numbers := self.folder.manifests()):
+            self.resume(self.folder.read(numbers[-1]))
+
+    def resume(self, doc: dict) -> None:
+        self.version, self.next_rid = doc["version"], doc["next_rid"]
+        self.changes = [datetime.fromisoformat(t) for t in doc["changes"]]
+        for when, document in doc["models"]:
+            model = Model()
+            model.load(document)
+            model.acls, model.annotations = document["acls"], document["annotations"]
+            self.models.append((datetime.fromisoformat(when), model))
+        self.model = copy.deepcopy(self.models[-1][1]) if self.models else self.model
+        for key, kept in doc["tables"].items():
+            table = tuple(json.loads(key))
+            if kept["rows"]:
+                self.files[table], self.rows[table] = kept["rows"], self.folder.rows(StructType.fromJson(kept["schema"]), kept["rows"])
+            elif kept["schema"]:
+                self.rows[table] = self.spark.createDataFrame([], StructType.fromJson(kept["schema"]))
+            if kept["past"]:
+                self.past_files[table], self.past[table] = kept["past"], self.folder.rows(StructType.fromJson(kept["past_schema"]), kept["past"])
+            if kept["written"]:
+                self.written.add(table)
+
+    def save(self) -> None:
+        """A manifest of the catalog as it is; none for a catalog without a folder."""
+        if not self.folder:
+            return
+        tables = {}
+        for t in self.model.tables():
+            rows, past = self.rows.get(t.id), self.past.get(t.id)
+            own = t.id in self.files or t.id in self.created
+            tables[json.dumps(t.id)] = {"rows": self.files.get(t.id, []), "schema": json.loads(rows.schema.json()) if own else None, "past": self.past_files.get(t.id, []), "past_schema": json.loads(past.schema.json()) if past is not None else None, "written": t.id in self.written}
+        self.version += 1
+        self.folder.save(self.version, {"version": self.version, "next_rid": self.next_rid, "changes": [c.isoformat() for c in self.changes], "models": [[w.isoformat(), m.document()] for w, m in self.models], "tables": tables})
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Drops the files that only older versions of the catalog need, and gives their number. Snapshots stay, as history has rows of its own."""
+        return self.folder.vacuum(keep) if self.folder else 0
 
     # the model
 
@@ -91,11 +143,15 @@ class Catalog:
         now = self.clock()
         self.models = [m for m in self.models if m[0] != now] + [(now, copy.deepcopy(self.model))]
         self.changes.append(now)
+        self.save()
 
     def register(self, name: str, df: DataFrame, key: tuple[str, ...] | list[tuple[str, ...]] | None = None, fkeys: list[tuple[tuple[str, ...], str, tuple[str, ...]]] = (), schema: str = "public", kind: str = "table", history: bool = False) -> Table:
         """A table over rows that exist already; keys are declared, not checked, and their columns count as never null. Its history is kept if asked for."""
         keys = [key] if isinstance(key, tuple) else list(key or [])
         keyed = {c for k in keys for c in k}
+        if schema in self.model.schemas and name in self.model.schemas[schema].tables and (schema, name) not in self.rows:  # of a catalog opened again
+            self.rows[schema, name] = df
+            return self.model.table(schema, name)
         t = Table(schema, name, {f.name: Column(f.name, Type.of_spark(f.dataType), f.name not in keyed) for f in df.schema}, [Key(k, enforced=kind == "table") for k in keys], kind=kind, history=history)
         self.model.add_table(t)
         for cols, target, target_cols in fkeys:
@@ -116,6 +172,7 @@ class Catalog:
             if self.require_primary_keys and not set(SYSTEM) <= set(t.columns):
                 raise Conflict(f"{t.name} lacks system columns")
             self.rows[t.id] = self.spark.createDataFrame([], ", ".join(f"`{c.name}` {c.type.spark}" for c in t.columns.values()))
+            self.created.add(t.id)
         self.remember_model()
         return made
 
@@ -128,18 +185,58 @@ class Catalog:
             for f in t.fkeys:
                 if f.target == old:
                     f.target = table.id
-        for store in (self.rows, self.past):
+        for store in (self.rows, self.past, self.files, self.past_files):
             if old in store:
                 store[table.id] = store.pop(old)
-        if old in self.written:
-            self.written = self.written - {old} | {table.id}
+        for kept in (self.written, self.created):
+            if old in kept:
+                kept.remove(old)
+                kept.add(table.id)
         self.remember_model()
 
     def drop_table(self, table: Table) -> None:
         if any(t is not table for t, _ in self.model.references(table)):
             raise Conflict(f"{table.name} is referenced")
         del self.model.schemas[table.schema].tables[table.name]
-        self.rows.pop(table.id, None)
+        for store in (self.rows, self.past, self.files, self.past_files):
+            store.pop(table.id, None)
+        self.remember_model()
+
+    def add_key(self, table: Table, key: Key) -> None:
+        """A key, or with ``enforced=False`` a pseudo-key, which rows aren't held to."""
+        for c in key.columns:
+            table.column(c)
+        if key.enforced and table.id in self.rows:
+            full = self.rows[table.id].where(reduce(and_, (F.col(f"`{c}`").isNotNull() for c in key.columns)))
+            if mutations.some(full.groupBy(*(f"`{c}`" for c in key.columns)).count().where("count > 1")):
+                raise Conflict(f"rows share a key ({', '.join(key.columns)})")
+        self.model.add_key(table, key)
+        self.remember_model()
+
+    def drop_key(self, table: Table, columns: tuple[str, ...]) -> None:
+        self.model.drop_key(table, columns)
+        self.remember_model()
+
+    def add_fkey(self, table: Table, fkey: ForeignKey) -> None:
+        """A foreign key, or with ``enforced=False`` a pseudo one, which rows aren't held to."""
+        self.model.add_fkey(table, fkey)
+        try:
+            self.check_fkeys(table, self.rows[table.id])
+        except Conflict:
+            table.fkeys.remove(fkey)
+            raise
+        self.remember_model()
+
+    def alter_fkey(self, table: Table, columns: tuple[str, ...], name: str | None = None, on_delete: str | None = None, on_update: str | None = None) -> None:
+        f = self.model.fkey(table, columns)
+        for action in (on_delete, on_update):
+            if action not in (None, "NO ACTION", "RESTRICT", "CASCADE", "SET NULL", "SET DEFAULT"):
+                raise BadRequest(f"unknown action {action}")
+        f.name, f.on_delete, f.on_update = name or f.name, on_delete or f.on_delete, on_update or f.on_update
+        self.remember_model()
+
+    def drop_fkey(self, table: Table, columns: tuple[str, ...]) -> None:
+        self.model.drop_fkey(table, columns)
         self.remember_model()
 
     def add_column(self, table: Table, column: Column) -> None:
@@ -209,10 +306,10 @@ class Catalog:
 
     # reading
 
-    def scan(self, client: Client, at: datetime | None = None, model: Model | None = None) -> Callable[[Table], DataFrame]:
-        model = model or self.model
+    def raw(self, at: datetime | None = None) -> Callable[[Table], DataFrame]:
+        """A table's rows now or at a moment, whoever asks."""
 
-        def raw(t: Table) -> DataFrame:
+        def rows(t: Table) -> DataFrame:
             if at is None:
                 return self.rows[t.id]
             if t.id not in self.past:
@@ -222,6 +319,10 @@ class Catalog:
             old = history.as_of(self.past[t.id], at)
             return old.select(*(f"`{c}`" if c in old.columns else F.lit(None).cast(t.columns[c].type.spark).alias(c) for c in t.columns))
 
+        return rows
+
+    def scan(self, client: Client, at: datetime | None = None, model: Model | None = None) -> Callable[[Table], DataFrame]:
+        model, raw = model or self.model, self.raw(at)
         return lambda t: authz.guarded_scan(model, t, client.all_roles, raw)
 
     def snapshot(self, t: datetime) -> datetime:
@@ -236,7 +337,8 @@ class Catalog:
         if at is not None:
             model = next((m for when, m in reversed(self.models) if when <= at), self.model)
         roles = client.all_roles
-        return Plan(model, self.scan(client, at, model), lambda t: authz.visible(model, t, roles), lambda t, place, cols: authz.rights_summary(model, t, place, cols, roles, ref))
+        raw = self.raw(at)
+        return Plan(model, self.scan(client, at, model), lambda t: authz.visible(model, t, roles), lambda t, place, cols: authz.rights_summary(model, t, place, cols, roles, ref, raw))
 
     def query(self, path: str, limit: int | None = None, client: Client | None = None) -> DataFrame:
         """A path such as ``entity/A:=orders/customer/c_custkey=1``, with ``?limit=N`` or the argument; no limit gives all rows."""
@@ -277,25 +379,57 @@ class Catalog:
 
     # writing
 
-    def put(self, table: Table, df: DataFrame, kind: str) -> None:
-        self.version += 1
-        now = self.clock()
-        df = settled(df, self.root, f"{table.schema}/{table.name}", self.version)
+    def store(self, table: Table, files: dict, name: str, old: DataFrame | None, whole: DataFrame | None, added: DataFrame | None) -> DataFrame:
+        """The whole rows, written anew; or old ones and added ones, of which only these are written."""
+        if added is None or old is None or len(files.get(table.id, [])) >= PARTS:
+            parts, new = [], whole if added is None or old is None else old.unionByName(added)
+        else:
+            parts, new = files.get(table.id, []), added
+            if self.folder and not parts and table.id not in self.created:  # the old ones aren't in the folder yet
+                new = old.unionByName(added)
+        relative = place(table.schema, name)
+        done = settled(new, self.folder, relative)
+        if self.folder:
+            files[table.id] = [*parts, relative]
+            return self.folder.rows(new.schema, files[table.id])
+        return done if new is not added else old.unionByName(done)
+
+    def put(self, table: Table, df: DataFrame, kind: str, added: DataFrame | None = None, now: datetime | None = None, last: bool = True) -> None:
+        """The table becomes df. added, if given, is all by which df differs from what it was; then no more than that is written.
+
+        Of several tables that one write changes, the last one's call makes all of it visible to who opens the catalog again.
+        """
+        now = now or self.clock()
+        before = self.rows[table.id]
+        df = self.store(table, self.files, table.name, before, df, added)
         key = ["RID"] if "RID" in table.columns else list(table.primary() or ())
         if table.history and key:
             old = self.past.get(table.id)
-            if old is None:
-                old = history.opened(self.rows[table.id], self.changes[0] if self.changes else now)
-            for c in df.columns:
-                if c not in old.columns:
-                    old = old.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-            self.past[table.id] = settled(history.capture(old, df, key, now), self.root, f"{table.schema}/{table.name}.history", self.version)
+            first = old is None
+            if first:
+                old = history.opened(before, self.changes[0] if self.changes else now)
+            if added is not None:
+                fresh = history.opened(added, now)
+                new = self.store(table, self.past_files, f"{table.name}.history", None if first else old, old.unionByName(fresh, True) if first else None, None if first else fresh.select(*(f"`{c}`" if c in fresh.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns)))
+            else:
+                for c in df.columns:
+                    if c not in old.columns:
+                        old = old.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+                new = self.store(table, self.past_files, f"{table.name}.history", None, history.capture(old, df, key, now), None)
+            self.past[table.id] = new
         self.rows[table.id] = df
         self.written.add(table.id)
-        self.changes.append(now)
+        if now not in self.changes:
+            self.changes.append(now)
+        if last:
+            self.save()
         for f in self.listeners:
             f(Written(table.id, kind, now))
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df as it is now, for the steps of a write."""
+        return settled(df, self.folder, place(STAGING, "rows"))
+
     def audit(self, table: Table, at: datetime, hide: tuple[str, ...] = (), show: tuple[str, ...] | None = None) -> DataFrame:
         """The rows that a write at that moment brought or took away, for a log: change (+ or -) and the columns not hidden."""
         past = self.past[table.id]
@@ -336,7 +470,7 @@ class Catalog:
             else:
                 col = F.lit(c.default)
             out.append(col.cast(c.type.spark).alias(c.name))
-        df = settled(rows.select(*out), self.root, "staging", self.version)
+        df = self.staged(rows.select(*out))
         top = df.agg(*(F.max(rid.decode("RID") if c.name == "RID" else F.col(f"`{c.name}`").cast("bigint")).alias(c.name) for c in table.columns.values() if c.name == "RID" or c.type.name.startswith("serial"))).first() if any(c.name == "RID" or c.type.name.startswith("serial") for c in table.columns.values()) else ()
         self.next_rid = max([self.next_rid, *(x + 1 for x in top if x is not None)])
         for c in table.columns.values():
@@ -364,7 +498,7 @@ class Catalog:
 
     def insert(self, path: str, rows: DataFrame, defaults: tuple[str, ...] = (), nondefaults: tuple[str, ...] = (), onconflict: str | None = None, client: Client | None = None) -> DataFrame:
         """Adds rows; returns them in full. defaults are made whatever is given; system columns too, unless among nondefaults."""
-        client = client or Client()
+        client = client or LOCAL
         table, _ = self.single(path)
         decision = self.may(table, "insert", client)
         if onconflict not in (None, "abort", "skip"):
@@ -380,14 +514,18 @@ class Catalog:
         full = self.completed(table, rows, given, client)
         self.allowed_rows(table, "insert", client, full, decision)
         after, added = mutations.insert(table, self.rows[table.id], full, onconflict == "skip")
+        if onconflict == "skip":  # of rows that share a key one was taken; it is the same one from here on
+            added = self.staged(added)
+            after = self.rows[table.id].unionByName(added)
         self.check_fkeys(table, added)
-        self.put(table, after, "insert")
+        self.put(table, after, "insert", added)
         return added
 
     def lease(self, number: int, client: Client) -> DataFrame:
         """Row identifiers for later inserts by the same client."""
         new = self.spark.range(self.next_rid, self.next_rid + number).select(rid.encode("id").alias("RID"), F.lit(client.id).alias("client"))
         self.next_rid += number
+        self.save()
         self.leases = new if self.leases is None else self.leases.unionAll(new)
         return new.select("RID")
 
@@ -397,7 +535,7 @@ class Catalog:
 
     def upsert(self, path: str, rows: DataFrame, client: Client | None = None) -> DataFrame:
         """Rows that match on all key columns given (together) are updated, the rest inserted. Returns the table."""
-        client = client or Client()
+        client = client or LOCAL
         table, _ = self.single(path)
         rows = self.known(table, rows)
         keyed = {c for k in table.keys for c in k.columns} - (set(SYSTEM) - {"RID"})
@@ -450,7 +588,7 @@ class Catalog:
 
     def update(self, path: str, rows: DataFrame, client: Client | None = None) -> DataFrame:
         """``attributegroup/T/k;a,b``: rows that match on k take a and b; rows that match nothing are ignored. ``old:=k;new:=k`` renames a key. Returns the table."""
-        client = client or Client()
+        client = client or LOCAL
         table, q = self.single(path)
         if q.api != "attributegroup" or not q.leaves:
             raise BadRequest("an update is an attributegroup of keys and targets")
@@ -482,14 +620,14 @@ class Catalog:
         key = list(table.primary() or table.columns)
         df = plan.semi()
         df = plan.product() if df is None else df
-        hit = settled(df.select(*(ref(plan.context, c).alias(c) for c in table.columns if c in plan.visible(table))).dropDuplicates(key), self.root, "staging", self.version)
+        hit = self.staged(df.select(*(ref(plan.context, c).alias(c) for c in table.columns if c in plan.visible(table))).dropDuplicates(key))
         if not mutations.some(hit):
             raise NotFound("nothing matches")
         return plan, table, hit, key
 
     def delete(self, path: str, client: Client | None = None) -> DataFrame:
         """``entity/path``: the rows of the context go, and foreign keys act. ``attribute/path/c``: their cells c become null. Returns the table."""
-        client = client or Client()
+        client = client or LOCAL
         q = S.parse(path)
         if q.api == "attribute":
             return self.clear(q, client)
@@ -499,8 +637,9 @@ class Catalog:
         self.allowed_rows(table, "delete", client, hit, self.may(table, "delete", client))
         changed: dict[tuple[str, str], DataFrame] = {}
         self.remove(table, hit, key, changed, set())
-        for name, df in changed.items():
-            self.put(self.model.table(*name), df, "delete")
+        now = self.clock()
+        for k, (name, df) in enumerate(changed.items()):
+            self.put(self.model.table(*name), df, "delete", now=now, last=k == len(changed) - 1)
         return self.rows[table.id]
 
     def remove(self, table: Table, hit: DataFrame, key: list[str], changed: dict, seen: set) -> None:

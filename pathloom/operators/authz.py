@@ -35,7 +35,9 @@ def allowed(acls: dict, right: str, roles: set[str]) -> bool | None:
 
 
 def static(model: Model, table: Table, right: str, roles: set[str], column: ModelColumn | None = None) -> bool | None:
-    """Of the nearest of column, table, schema and catalog that speaks of the right; owners of what is around own what is in it."""
+    """Of the nearest of column, table, schema and catalog that speaks of the right; owners of what is around own what is in it. Anonymous clients read at most."""
+    if roles <= {"*"} and right not in ("enumerate", "select"):
+        return False
     chain = [*([column.acls] if column else []), table.acls, model.schemas[table.schema].acls, model.acls]
     if any(set(a.get("owner") or []) & (roles | {"*"}) for a in chain):
         return True
@@ -174,23 +176,21 @@ def visible(model: Model, table: Table, roles: set[str]) -> list[str]:
     return [c.name for c in table.columns.values() if static(model, table, "select", roles, c) is not False or static(model, table, "enumerate", roles, c)] if any(c.acls or c.acl_bindings for c in table.columns.values()) else list(table.columns)
 
 
-def rights_summary(model: Model, table: Table, place: int, columns: bool, roles: set[str], ref) -> Column:
-    """JSON of update and delete, and for tcrs of each column's update, for a row."""
+def rights_summary(model: Model, table: Table, place: int, columns: bool, roles: set[str], ref, raw) -> tuple[Column, dict]:
+    """JSON of update and delete, and for tcrs of each column's update, for a row; and by name the marks that it reads, each made by a function of the rows."""
+    marks: dict = {}
 
     def right(name: str, column: ModelColumn | None = None) -> Column:
         decision = static(model, table, name, roles, column)
         if decision is not None:
             return F.lit(decision)
-        clauses = []
-        for b in ({**table.acl_bindings, **(column.acl_bindings if column else {})}).values():
-            if b and in_scope(b, name, roles):
-                steps, c = steps_of(b["projection"])
-                if not steps:
-                    clauses.append(test(ref(place, c), table.column(c).type, b.get("projection_type", "acl"), roles))
-        return reduce(or_, clauses, F.lit(False))
+        own = {k: b for k, b in {**table.acl_bindings, **(column.acl_bindings if column else {})}.items() if b and in_scope(b, name, roles)}
+        mark = f"right|{name}|{'|'.join(str(id(b)) for b in own.values())}"
+        marks[mark] = lambda df: with_decision(df, model, table, own, name, roles, raw, mark)
+        return ref(place, mark)
 
     parts = [right("update").alias("update"), right("delete").alias("delete")]
     if columns:
         fixed = {"RID", "RCT", "RMT", "RCB", "RMB"}
         parts.append(F.struct(*((F.lit(False) if c.name in fixed else right("update", c)).alias(c.name) for c in table.columns.values())).alias("column_update"))
-    return F.to_json(F.struct(*parts))
+    return F.to_json(F.struct(*parts)), marks

@@ -34,6 +34,7 @@ class Element:
     parent: int | None = None
     how: str = "inner"
     links: list[Pairs] = field(default_factory=list)  # alternatives, each of (parent's column, own column)
+    marks: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # further columns of the rows, each by what adds it
 
 
 def at(place: int, column: str) -> str:
@@ -175,7 +176,10 @@ class Plan:
 
     def rows(self, e: Element) -> DataFrame:
         df = self.scan(e.table)
-        return df.select(*(F.col(f"`{c}`").alias(at(e.place, c)) for c in df.columns))
+        columns = [*df.columns, *e.marks]
+        for add in e.marks.values():
+            df = add(df)
+        return df.select(*(F.col(f"`{c}`").alias(at(e.place, c)) for c in columns))
 
     def on(self, e: Element) -> list[Column]:
         return [reduce(and_, (ref(e.parent, a) == ref(e.place, b) for a, b in pairs)) for pairs in e.links]
@@ -257,7 +261,9 @@ class Plan:
             elif i.rights:
                 if column != "RID" or self.rights is None:
                     raise Conflict("a summary of rights is of RID")
-                out.append(Output(i.alias or i.rights, self.rights(table, place, i.rights == "tcrs"), None, {place}))
+                summary, marks = self.rights(table, place, i.rights == "tcrs")
+                self.elements[place].marks.update(marks)
+                out.append(Output(i.alias or i.rights, summary, None, {place}))
             elif column == "*":
                 if i.alias is not None:
                     raise BadRequest("* can't be renamed")
