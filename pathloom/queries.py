@@ -1,4 +1,4 @@
-"""Queries over the tables of a folder, and the same in DuckDB's SQL."""
+"""Queries over the tables of a folder, and the same in DuckDB's SQL; more of them are in queries_read and queries_write."""
 
 from __future__ import annotations
 
@@ -226,8 +226,14 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{k: by_path(p) for k, (p, _) in PATHS.items()}, **{k: f for k, (f, _) in OTHERS.items()}}
+    from pathloom import queries_read, queries_write
+
+    own = {**{k: by_path(p) for k, (p, _) in PATHS.items()}, **{k: f for k, (f, _) in OTHERS.items()}}
+    return {**own, **queries_read.queries(), **queries_write.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: s for k, (_, s) in PATHS.items()}, **{k: s for k, (_, s) in OTHERS.items()}}
+    from pathloom import queries_read, queries_write
+
+    own = {**{k: s for k, (_, s) in PATHS.items()}, **{k: s for k, (_, s) in OTHERS.items()}}
+    return {**own, **queries_read.oracle_sql(), **queries_write.oracle_sql()}
