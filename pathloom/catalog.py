@@ -70,6 +70,16 @@ LOCAL = Client(roles=frozenset({"*", "local"}))
 PARTS = 64
 
 
+@dataclass
+class Change:
+    """A change of the rows that have some keys: how gives any part of the table, with all of its rows of those keys, as it is afterwards."""
+
+    keys: DataFrame
+    key: list[str]
+    how: Callable[[DataFrame], DataFrame]
+    null_safe: bool = False
+
+
 @dataclass
 class Written:
     """What happened in a write, for whoever listens."""
@@ -394,12 +404,62 @@ class Catalog:
             return self.folder.rows(new.schema, files[table.id])
         return done if new is not added else old.unionByName(done)
 
-    def put(self, table: Table, df: DataFrame, kind: str, added: DataFrame | None = None, now: datetime | None = None, last: bool = True) -> None:
-        """The table becomes df. added, if given, is all by which df differs from what it was; then no more than that is written.
+    def touched(self, df: DataFrame, parts: list[str], changes: list[Change], live: bool = False) -> tuple[list[str], list[str]]:
+        """Of a table's parts: the files that hold rows of the changes' keys, and the rest. Only the key columns are read."""
+        found: set[tuple[str, str]] = set()
+        for c in changes:
+            rows = self.folder.rows(df.schema, parts).select("*", F.col("_metadata.file_path").alias("file|"))
+            rows = rows.where(F.col(history.TO).isNull()) if live else rows
+            keys = mutations.boxed(c.keys.select(*(f"`{k}`" for k in c.key)), "n")
+            hit = mutations.boxed(rows, "o").join(keys, mutations.same("o", "n", c.key, c.null_safe), "left_semi")
+            found |= {tuple(r[0].rsplit("/", 2)[1:]) for r in hit.select(F.col("o")["file|"]).distinct().collect()}
+        return self.folder.split(parts, found)
+
+    def put_changes(self, table: Table, changes: list[Change], added: DataFrame | None, now: datetime) -> DataFrame | None:
+        """A write that changes rows of a table in the folder: its files that hold such rows are put anew, and those of its history that hold their current versions. None if the table isn't there, or its history isn't."""
+        parts, before = self.files.get(table.id), self.rows[table.id]
+        key = ["RID"] if "RID" in table.columns else list(table.primary() or ())
+        kept = table.history and bool(key)
+        if not self.folder or not parts or kept and not self.past_files.get(table.id) or any(c not in self.past[table.id].columns for c in before.columns if kept):
+            return None
+        hit, rest = self.touched(before, parts, changes)
+        old = self.folder.rows(before.schema, hit)
+        new = reduce(lambda df, c: c.how(df), changes, old)
+        new = new if added is None else new.unionByName(added)
+        relative = place(table.schema, table.name)
+        self.folder.write(new.select(*before.columns), relative)
+        done = self.folder.rows(before.schema, [relative])
+        if kept:
+            past = self.past[table.id]
+            keys, versions = history.capture_changes(past, old, done, key, now)
+            keys = self.staged(keys)
+            stale, fine = self.touched(past, self.past_files[table.id], [Change(keys, key, lambda df: df, True)], live=True)
+            again = place(table.schema, f"{table.name}.history")
+            self.folder.write(history.closed(self.folder.rows(past.schema, stale), keys, key, now).unionByName(versions), again)
+            self.past_files[table.id] = [*fine, again]
+            self.past[table.id] = self.folder.rows(past.schema, self.past_files[table.id])
+        self.files[table.id] = [*rest, relative]
+        return self.folder.rows(before.schema, self.files[table.id])
+
+    def put(self, table: Table, df: DataFrame, kind: str, added: DataFrame | None = None, now: datetime | None = None, last: bool = True, changes: list[Change] | None = None) -> None:
+        """The table becomes df. Where it is told by which rows added, or by which changes, df differs from what it was, a catalog in a folder writes no more than these, or the files that hold them.
 
         Of several tables that one write changes, the last one's call makes all of it visible to who opens the catalog again.
         """
         now = now or self.clock()
+        done = self.put_changes(table, changes, added, now) if changes else None
+        if done is None:
+            done = self.put_whole(table, df, None if changes else added, now)
+        self.rows[table.id] = done
+        self.written.add(table.id)
+        if now not in self.changes:
+            self.changes.append(now)
+        if last:
+            self.save()
+        for f in self.listeners:
+            f(Written(table.id, kind, now))
+
+    def put_whole(self, table: Table, df: DataFrame, added: DataFrame | None, now: datetime) -> DataFrame:
         before = self.rows[table.id]
         df = self.store(table, self.files, table.name, before, df, added)
         key = ["RID"] if "RID" in table.columns else list(table.primary() or ())
@@ -417,14 +477,7 @@ class Catalog:
                         old = old.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
                 new = self.store(table, self.past_files, f"{table.name}.history", None, history.capture(old, df, key, now), None)
             self.past[table.id] = new
-        self.rows[table.id] = df
-        self.written.add(table.id)
-        if now not in self.changes:
-            self.changes.append(now)
-        if last:
-            self.save()
-        for f in self.listeners:
-            f(Written(table.id, kind, now))
+        return df
 
     def staged(self, df: DataFrame) -> DataFrame:
         """df as it is now, for the steps of a write."""
@@ -529,7 +582,7 @@ class Catalog:
         self.leases = new if self.leases is None else self.leases.unionAll(new)
         return new.select("RID")
 
-    def touched(self, table: Table, client: Client) -> dict:
+    def stamp(self, table: Table, client: Client) -> dict:
         out = {"RMT": F.lit(self.clock()).cast("timestamp"), "RMB": F.lit(client.id)}
         return {k: v for k, v in out.items() if k in table.columns}
 
@@ -549,14 +602,18 @@ class Catalog:
         nullable = any(table.columns[c].nullok for c in key)
         current = self.rows[table.id]
         self.allowed_rows(table, "update", client, self.matched(current, rows, key, nullable), right)
+        stamp, changes, added = self.stamp(table, client), [], None
         if rest:
-            current = mutations.update(current, rows, {c: c for c in key}, {c: c for c in rest}, self.touched(table, client), nullable)
+            changes = [Change(rows, key, lambda df: mutations.update(df, rows, {c: c for c in key}, {c: c for c in rest}, stamp, nullable), nullable)]
+            current = changes[0].how(current)
         a, b = mutations.boxed(rows, "n"), mutations.boxed(self.rows[table.id].select(*(f"`{c}`" for c in key)), "o")
         fresh = mutations.unboxed(a.join(b, mutations.same("n", "o", key, nullable), "left_anti"), "n", rows.columns)
         if mutations.some(fresh):
             self.allowed_rows(table, "insert", client, fresh, self.may(table, "insert", client))
-            current, _ = mutations.insert(table, current, self.completed(table, fresh, set(fresh.columns) - (set(SYSTEM) - {"RID"}), client), skip=True)
-        return self.changed(table, current, rest, "upsert")
+            _, added = mutations.insert(table, current, self.completed(table, fresh, set(fresh.columns) - (set(SYSTEM) - {"RID"}), client), skip=True)
+            added = self.staged(added)
+            current = current.unionByName(added)
+        return self.changed(table, current, rest, "upsert", changes, added)
 
     def matched(self, current: DataFrame, rows: DataFrame, key: list[str], nullable: bool) -> DataFrame:
         return mutations.unboxed(mutations.boxed(current, "o").join(mutations.boxed(rows.select(*(f"`{c}`" for c in key)), "n"), mutations.same("o", "n", key, nullable), "left_semi"), "o", current.columns)
@@ -567,7 +624,7 @@ class Catalog:
                 raise BadRequest(f"unknown column {c}")
         return rows.select(*(F.col(f"`{c}`").cast(table.columns[c].type.spark).alias(c) for c in rows.columns))
 
-    def changed(self, table: Table, after: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    def changed(self, table: Table, after: DataFrame, columns: list[str], kind: str, changes: list[Change] | None = None, added: DataFrame | None = None) -> DataFrame:
         mutations.check_types(table, after)
         for k in table.keys:
             if k.enforced and set(k.columns) & set(columns):
@@ -583,7 +640,7 @@ class Catalog:
                     self.check_fkeys(t, self.rows[t.id])
                 finally:
                     self.rows[table.id] = before
-        self.put(table, after, kind)
+        self.put(table, after, kind, added, changes=changes)
         return self.rows[table.id]
 
     def update(self, path: str, rows: DataFrame, client: Client | None = None) -> DataFrame:
@@ -608,7 +665,9 @@ class Catalog:
         nullable = any(table.columns[c].nullok for c in key)
         current = self.rows[table.id]
         self.allowed_rows(table, "update", client, self.matched(current, rows.select(*(F.col(f"`{v}`").alias(k) for k, v in key.items())), list(key), nullable), right)
-        return self.changed(table, mutations.update(current, rows, key, targets, self.touched(table, client), nullable), list(targets), "update")
+        stamp = self.stamp(table, client)
+        change = Change(rows.select(*(F.col(f"`{v}`").alias(k) for k, v in key.items())), list(key), lambda df: mutations.update(df, rows, key, targets, stamp, nullable), nullable)
+        return self.changed(table, change.how(current), list(targets), "update", [change])
 
     def hits(self, q: S.Query, client: Client) -> tuple[Plan, Table, DataFrame, list[str]]:
         if q.snapshot:
@@ -636,15 +695,19 @@ class Catalog:
         _, table, hit, key = self.hits(q, client)
         self.allowed_rows(table, "delete", client, hit, self.may(table, "delete", client))
         changed: dict[tuple[str, str], DataFrame] = {}
-        self.remove(table, hit, key, changed, set())
+        how: dict[tuple[str, str], list[Change]] = {}
+        self.remove(table, hit, key, changed, how, set())
         now = self.clock()
         for k, (name, df) in enumerate(changed.items()):
-            self.put(self.model.table(*name), df, "delete", now=now, last=k == len(changed) - 1)
+            self.put(self.model.table(*name), df, "delete", now=now, last=k == len(changed) - 1, changes=how[name])
         return self.rows[table.id]
 
-    def remove(self, table: Table, hit: DataFrame, key: list[str], changed: dict, seen: set) -> None:
-        now = changed.get(table.id, self.rows[table.id])
-        changed[table.id] = mutations.delete(now, hit, key)
+    def remove(self, table: Table, hit: DataFrame, key: list[str], changed: dict, how: dict, seen: set) -> None:
+        def change(t: Table, c: Change) -> None:
+            how.setdefault(t.id, []).append(c)
+            changed[t.id] = c.how(changed.get(t.id, self.rows[t.id]))
+
+        change(table, Change(hit, list(key), lambda df: mutations.delete(df, hit, key), True))
         for t, f in self.model.references(table):
             if not f.enforced or (t.id, f.columns) in seen:
                 continue
@@ -655,12 +718,12 @@ class Catalog:
                 continue
             own = list(t.primary() or t.columns)
             if f.on_delete == "CASCADE":
-                self.remove(t, left, own, changed, seen | {(t.id, f.columns)})
+                self.remove(t, left, own, changed, how, seen | {(t.id, f.columns)})
             elif f.on_delete in ("SET NULL", "SET DEFAULT"):
                 put = left.select(*(f"`{c}`" for c in own))
                 for c in f.columns:
                     put = put.withColumn(f"new|{c}", F.lit(t.columns[c].default if f.on_delete == "SET DEFAULT" else None).cast(child.schema[c].dataType))
-                changed[t.id] = mutations.update(child, put, {c: c for c in own}, {c: f"new|{c}" for c in f.columns}, nullable=True)
+                change(t, Change(put, own, lambda df, put=put, own=own, f=f: mutations.update(df, put, {c: c for c in own}, {c: f"new|{c}" for c in f.columns}, nullable=True), True))
             else:
                 raise Conflict(f"rows of {t.name} refer to the rows")
 
@@ -674,7 +737,9 @@ class Catalog:
                 raise Conflict(f"{c} can't be cleared")
             self.may(table, "update", client, table.column(c))
         self.allowed_rows(table, "update", client, hit, self.may(table, "update", client))
-        return self.changed(table, mutations.clear(self.rows[table.id], hit, key, columns, self.touched(table, client)), columns, "clear")
+        stamp = self.stamp(table, client)
+        change = Change(hit, list(key), lambda df: mutations.clear(df, hit, key, columns, stamp), True)
+        return self.changed(table, change.how(self.rows[table.id]), columns, "clear", [change])
 
     # history
 

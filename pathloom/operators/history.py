@@ -39,6 +39,29 @@ def capture(history: DataFrame, new: DataFrame, key: list[str], now: datetime) -
     return closed.unionByName(kept).unionByName(opened(begun, now))
 
 
+def capture_changes(history: DataFrame, before: DataFrame, after: DataFrame, key: list[str], now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(keys, versions): the keys of rows that differ between before and after, parts of a table that hold the same keys but for those that came or went; and their new versions."""
+    cols = after.columns
+    box = lambda df, name: df.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in cols)).alias(name))
+    both = box(before, "old").join(box(after, "new"), reduce(and_, (F.col("old")[c].eqNullSafe(F.col("new")[c]) for c in key)), "full")
+    differs = F.col("old").isNull() | F.col("new").isNull() | ~reduce(and_, (F.col("old")[c].eqNullSafe(F.col("new")[c]) for c in cols))
+    both = both.where(differs)
+    keys = both.select(*(F.coalesce(F.col("old")[c], F.col("new")[c]).alias(c) for c in key))
+    fresh = opened(both.where(F.col("new").isNotNull()).select(*(F.col("new")[c].alias(c) for c in cols)), now)
+    return keys, fresh.select(*(F.col(f"`{c}`").cast(history.schema[c].dataType).alias(c) if c in fresh.columns else F.lit(None).cast(history.schema[c].dataType).alias(c) for c in history.columns))
+
+
+def closed(history: DataFrame, keys: DataFrame, key: list[str], now: datetime) -> DataFrame:
+    """history with the current versions of the keys ended; one that began at this same moment is taken away."""
+    cols = history.columns
+    a = history.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in cols)).alias("h"))
+    b = keys.select(F.struct(*(f"`{c}`" for c in key)).alias("k"), F.lit(True).alias("hit"))
+    both = a.join(b, reduce(and_, (F.col("h")[c].eqNullSafe(F.col("k")[c]) for c in key)) & F.col("h")[TO].isNull(), "left")
+    ended = F.coalesce(F.col("hit"), F.lit(False))
+    kept = both.where(~(ended & (F.col("h")[FROM] >= _moment(now))))
+    return kept.select(*((F.when(ended, _moment(now)).otherwise(F.col("h")[c]) if c == TO else F.col("h")[c]).alias(c) for c in cols))
+
+
 def as_of(history: DataFrame, t: datetime) -> DataFrame:
     at = _moment(t)
     return history.where((F.col(FROM) <= at) & (F.col(TO).isNull() | (at < F.col(TO)))).drop(FROM, TO)
