@@ -11,8 +11,10 @@ document merge into one removal span, given in characters. Test items beyond ``I
 are searched in groups, all in the text as it came; occurrences are merged when all are found.
 
 Defined cases: null and empty texts and items have no occurrences; rows are taken one by one,
-so repeated rows each give their spans; a null id is carried as null; no rows in give no rows
-out; other columns are not read.
+so repeated rows each give their spans; a very long text is a shard of its own, searched whole;
+phrases that tie or repeat count once at a place; a null id is carried as null, an item without
+one is searched but not named; no rows in give no rows out; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -32,7 +35,7 @@ N, SHORTEST, SAMPLE = 8, 5, 8
 #: Bytes of text in a shard.
 SHARD = 24 << 20
 #: Bytes of test items that are searched in one pass; more take more passes.
-ITEMS_AT_ONCE = 64 << 20
+ITEMS_AT_ONCE = 32 << 20
 
 
 class Wavelet:
@@ -111,13 +114,13 @@ class FMIndex:
         self.nth = np.cumsum(kept) - 1
         del self.order
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows [low, high) of each phrase; phrases are aligned to the right."""
-        low = np.zeros(len(phrases), np.int64)
-        high = np.full(len(phrases), len(self.sampled), np.int64)
-        for back in range(1, phrases.shape[1] + 1):
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows [low, high) of each phrase, so many words from its start on."""
+        low = np.zeros(len(starts), np.int64)
+        high = np.full(len(starts), len(self.sampled), np.int64)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             on = np.flatnonzero((lengths >= back) & (low < high))
-            c = phrases[on, -back]
+            c = words[starts[on] + lengths[on] - back].astype(np.int64)
             low[on] = self.before[c] + self.wavelet.rank(c, low[on])
             high[on] = self.before[c] + self.wavelet.rank(c, high[on])
         return low, high
@@ -135,26 +138,52 @@ class FMIndex:
         return at
 
 
+def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of pairs of ranks: equal ones and only those get the same rank."""
+    return np.unique(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1]
+
+
 class Phrases:
-    """The test items' phrases over their own vocabulary."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int = N, shortest: int = SHORTEST):
-        found: dict[tuple, set] = {}
-        for item, text in items:
-            h = word_hashes(text or "").tolist()
-            if len(h) >= shortest:
-                for k in range(max(1, len(h) - n + 1)):
-                    found.setdefault(tuple(h[k : k + n]), set()).add(item)
-        self.vocabulary = np.unique(np.array([w for p in found for w in p], U64))
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.least = int(self.lengths.min()) if found else 0
-        self.matrix = np.zeros((len(found), n), np.int64)
-        for k, p in enumerate(found):
-            self.matrix[k, n - len(p) :] = np.searchsorted(self.vocabulary, np.array(p, U64)) + 1
-        self.items = [sorted(x, key=lambda v: (v is None, v)) for x in found.values()]
+    """The test items' phrases over their own vocabulary.
+
+    Each is a place and a length in the items' words, kept as numbers (about 30 bytes a phrase);
+    which places are of one phrase is told by doubling: a run's rank is that of its two halves' ranks.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]], n: int = N, shortest: int = SHORTEST):
+        each = [word_hashes(text or "") for _, text in items]
+        self.vocabulary, self.words = np.unique(np.concatenate([np.zeros(0, U64), *each]), return_inverse=True)
+        self.words = (self.words + 1).astype(np.int32)
+        size = np.array([len(h) for h in each], np.int64)
+        base = np.cumsum(size) - size
+        starts, lengths, owners, kinds = ([np.zeros(0, np.int64)] for _ in range(4))
+        for long in sorted({int(min(k, n)) for k in size if k >= shortest}):
+            own = np.flatnonzero((size >= n) if long == n else (size == long))
+            count = size[own] - long + 1
+            at = np.repeat(base[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            rank, width = self.words.astype(np.int64), 1
+            while width < long:
+                step = min(width, long - width)
+                rank, width = _ranks(rank[: len(rank) - step], rank[step:]), width + step
+            starts.append(at)
+            lengths.append(np.full(len(at), long))
+            owners.append(np.repeat(own, count))
+            kinds.append(rank[at] + int(kinds[-1].max(initial=-1)) + 1)
+        starts, lengths, owners, kinds = map(np.concatenate, (starts, lengths, owners, kinds))
+        kinds, first, of = np.unique(kinds, return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[first], lengths[first]
+        self.least = int(self.lengths.min(initial=1 << 30)) if len(first) else 0
+        named = np.array([i is not None for i, _ in items], bool)[owners] if len(owners) else np.zeros(0, bool)
+        ids = np.array([i or 0 for i, _ in items], np.int64)
+        pair = np.unique(np.stack([of[named], ids[owners[named]]]), axis=1) if named.any() else np.zeros((2, 0), np.int64)
+        self._ids, self._at = pair[1], np.searchsorted(pair[0], np.arange(len(first) + 1))
         self.near = np.zeros(1 << 20, bool)
         self.near[self.vocabulary >> U64(44)] = True
 
+    def items(self, phrase: int) -> list[int]:
+        """The ids of the items that hold a phrase, those that have one."""
+        return self._ids[self._at[phrase] : self._at[phrase + 1]].tolist()
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
         if len(self.vocabulary):
@@ -194,7 +223,7 @@ def shard_occurrences(texts: list[tuple[np.ndarray, np.ndarray]], phrases: Phras
         return {}
     doc, first, last = map(np.concatenate, (doc, first, last))
     index = FMIndex(text, len(phrases.vocabulary))
-    low, high = index.search(phrases.matrix, phrases.lengths)
+    low, high = index.search(phrases.words, phrases.starts, phrases.lengths)
     count = high - low
     hit = np.flatnonzero(count > 0)
     if not len(hit):
@@ -214,7 +243,7 @@ def shard_occurrences(texts: list[tuple[np.ndarray, np.ndarray]], phrases: Phras
         data, off = texts[t]
         k = d - bases[t]
         a, b = char_offsets(data[off[k] : off[k + 1]], np.stack([first[at[own]], stop[own]])).tolist()
-        found[d] = [(*x, phrases.items[p]) for *x, p in zip(a, b, which[own].tolist())]
+        found[d] = [(*x, phrases.items(p)) for *x, p in zip(a, b, which[own].tolist())]
     return found
 
 
@@ -231,7 +260,7 @@ def merged(found: list[tuple[int, int, list]]) -> list[list]:
             out[-1][3].update(places[a, b])
         else:
             out.append([a, b, 1, set(places[a, b])])
-    return [[a, b, n, sorted(x for x in items if x is not None)] for a, b, n, items in out]
+    return [[a, b, n, sorted(items)] for a, b, n, items in out]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[pa.RecordBatch]]:
@@ -248,7 +277,7 @@ def _shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[pa.Recor
 
 def _passes(items: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
     """The items in groups of a checked size, each group for one pass over the corpus."""
-    items = items.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("string").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = total // ITEMS_AT_ONCE + 1
     return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
@@ -274,19 +303,19 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, phrases: Phrases, more:
             yield b, own
 
 
-def _all_but_last(docs: DataFrame, k: int, groups: list[list[tuple]], n: int, shortest: int) -> tuple[DataFrame, Phrases, bool]:
-    """docs, with what all groups but the last find in column k as a last column; the last group's phrases; and whether there are others."""
+def _all_but_last(docs: DataFrame, k: int, groups: list[list[tuple]], n: int, shortest: int) -> tuple[DataFrame, Broadcast, bool]:
+    """docs, with what all groups but the last find in column k as a last column; the last group's phrases, broadcast (their size is bounded by ITEMS_AT_ONCE); and whether there are others."""
     out = docs
     for g, group in enumerate(groups[:-1]):
-        phrases = Phrases(group, n, shortest)
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(group, n, shortest))
 
-        def add(batches, phrases=phrases, more=g > 0):
-            for b, own in _searched(batches, k, phrases, more):
+        def add(batches, shared=shared, more=g > 0):
+            for b, own in _searched(batches, k, shared.value, more):
                 found = [[{"a": a, "b": z, "items": list(x)} for a, z, x in own[d]] if d in own else None for d in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _FOUND)], [*b.schema.names, FOUND])
 
         out = out.mapInArrow(add, StructType([*docs.schema.fields, StructField(FOUND, from_arrow_type(_FOUND))]))
-    return out, Phrases(groups[-1], n, shortest), len(groups) > 1
+    return out, docs.sparkSession.sparkContext.broadcast(Phrases(groups[-1], n, shortest)), len(groups) > 1
 
 
 def contamination_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, shortest: int = SHORTEST) -> DataFrame:
@@ -295,7 +324,7 @@ def contamination_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
     source, phrases, more = _all_but_last(source, 1, _passes(items, item_id, item_text), n, shortest)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, own in _searched(batches, 1, phrases, more):
+        for b, own in _searched(batches, 1, phrases.value, more):
             ids = b.column(0).to_pylist() if own else []
             found = [(ids[d], *x) for d in sorted(own) for x in merged(own[d])]
             cols = list(zip(*found)) or [[]] * 5
@@ -315,7 +344,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars
     source, phrases, more = _all_but_last(docs, k, _passes(items, item_id, item_text), n, shortest)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, own in _searched(batches, k, phrases, more):
+        for b, own in _searched(batches, k, phrases.value, more):
             if own:
                 texts, keep = b.column(k).to_pylist(), np.ones(b.num_rows, bool)
                 size = b.column(m).to_pylist() if m is not None else None
