@@ -10,12 +10,13 @@ ASCII letters, and each white space character counts as a blank.
 
 Defined cases: a null or empty text has no spans; rows are taken one by one, so repeated rows
 each give theirs; of matches of one notice that overlap, the regex library's leftmost best is
-given, and matches beside it too, and where notices of different licenses overlap, those of the fewest edits; other
-columns are not read.
+given, and matches beside it too, and where notices of different licenses overlap, those of the fewest edits; a very long text is searched whole; no rows in give no rows out; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,9 +41,12 @@ NOTICES = {
 _BLANK = bytes.maketrans(b"\t\n\r\f\v", b"     ")
 
 
-def edits(notice: str) -> int:
-    """One edit for each ten characters, four at most."""
-    return min(4, len(notice) // 10)
+MOST_EDITS = 4
+
+
+def edits(notice: str, most: int = MOST_EDITS) -> int:
+    """One edit for each ten characters, ``most`` at most."""
+    return min(most, len(notice) // 10)
 
 
 def pieces(notice: str, k: int) -> list[tuple[int, str]]:
@@ -57,10 +61,10 @@ def plain(text: str) -> str:
 
 
 class Finder:
-    def __init__(self, notices: dict[str, str]):
+    def __init__(self, notices: dict[str, str], most: int = MOST_EDITS):
         self.names = list(notices)
         self.notices = [plain(notices[n]) for n in self.names]
-        self.edits = [edits(x) for x in self.notices]
+        self.edits = [edits(x, most) for x in self.notices]
         self.search = [regex.compile(f"(?b)(?:{regex.escape(x)}){{e<={k}}}") for x, k in zip(self.notices, self.edits)]
         seeds: dict[str, list] = {}
         for i, (x, k) in enumerate(zip(self.notices, self.edits)):
@@ -99,24 +103,36 @@ class Finder:
                     merged.append([a, b])
             for a, b in merged:
                 out += sorted((self.names[i], *found) for found in self._matches(i, low, a, b))
-        return [x for x in out if not any(y[3] < x[3] and y[0] != x[0] and y[1] < x[2] and x[1] < y[2] for y in out)]
+        return fewest(out)
+
+
+def fewest(spans: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The spans that no span of another license with fewer edits overlaps; each is compared with those that begin shortly before or within it only."""
+    by = sorted(spans, key=lambda s: s[1])
+    starts, longest = [s[1] for s in by], max((s[2] - s[1] for s in by), default=0)
+
+    def beaten(x: tuple) -> bool:
+        near = by[bisect_left(starts, x[1] - longest) : bisect_left(starts, x[2])]
+        return any(y[3] < x[3] and y[0] != x[0] and x[1] < y[2] for y in near)
+
+    return [x for x in spans if not beaten(x)]
 
 
 SPANS = "doc_id bigint, license string, span_start int, span_end int, edits int"
 _finders: dict[tuple, Finder] = {}
 
 
-def finder(notices: dict[str, str]) -> Finder:
-    if (k := tuple(notices.items())) not in _finders:
-        _finders[k] = Finder(notices)
+def finder(notices: dict[str, str], most: int = MOST_EDITS) -> Finder:
+    if (k := (most, *notices.items())) not in _finders:
+        _finders[k] = Finder(notices, most)
     return _finders[k]
 
 
-def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
+def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: dict[str, str] = NOTICES, most_edits: int = MOST_EDITS) -> DataFrame:
     """A row for each occurrence: doc_id, license, span_start and span_end in characters, and the number of edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder(notices).spans
+        find = finder(notices, most_edits).spans
         for b in batches:
             rows = [(i, *s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for s in find(t)]
             cols = list(zip(*rows)) or [[]] * 5
