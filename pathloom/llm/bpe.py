@@ -7,7 +7,8 @@ beyond ``SHORT`` bytes goes through a heap over linked parts, with the same resu
 than quadratic time. Words are encoded once while they stay in a worker's cache.
 
 Defined cases: a null text has null tokens and a null count; an empty one has none and 0; rows
-are taken one by one, so ties and repeated rows each give theirs; other columns are not read.
+are taken one by one, so ties and repeated rows each give theirs; a very long text or word is
+encoded whole; no rows in give no rows out; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, NONE = 128, 1 << 60
-#: Words whose encoding a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of words and their results that a worker remembers, by estimate.
+REMEMBERED = 64 << 20
 ROWS = 512
 
 # the same pattern over the characters of the plain set, for which the standard library's engine is faster
@@ -93,18 +95,27 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Remembered(dict):
-    """A word's result by the word, worked out when first asked for and dropped when there are too many."""
+    """A word's result by the word, worked out when first asked for. When what is held takes more than so many bytes, all is dropped; a result of a sixteenth of them isn't held at all."""
 
     def __init__(self, work: Callable, most: int = REMEMBERED):
-        self.work, self.most = work, most
+        self.work, self.most, self.held = work, most, 0
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.work(word)
+        out = self.work(word)
+        size = 150 + (getsizeof(word) if type(word) is not int else 0) + (sum(map(_size, out)) if type(out) is tuple else _size(out))
+        if size * 16 <= self.most:
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[word] = out
         return out
 
 
+def _size(value) -> int:
+    return getsizeof(value) + (28 * len(value) if type(value) is list else 0)
+
+
 class Codec:
     def __init__(self, raw: bytes):
         self.ranks = read_ranks(raw)

@@ -12,7 +12,8 @@ each (four little-endian bytes each, if one of them doesn't fit). The running su
 the exact count at every prefix; budgets and truncations are answered from it.
 
 Defined cases: a null text has null results; an empty one has 0 tokens and no steps; rows are
-taken one by one, so ties and repeated rows each give theirs; other columns are not read.
+taken one by one, so ties and repeated rows each give theirs; a very long text is counted whole,
+at every prefix; no rows in give no rows out; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pathloom.llm import bpe
 
 BUDGETS = (128, 1024)
 ROWS = 256
-#: Bytes of a piece's head, and units whose steps a worker remembers.
-HEAD, REMEMBERED = 6, 500_000
+#: Bytes of a piece's head; and bytes that a worker remembers of heads, pairs of tokens and units' steps, each by estimate.
+HEAD, REMEMBERED = 6, 96 << 20
 _W = r"\p{White_Space}"
 _L, _S = bpe._L, bpe._S
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -60,8 +61,8 @@ class Prefixes:
         for t in ranks:
             if len(t) > 3:
                 self.longest[t[-4:]] = max(len(t), self.longest.get(t[-4:], 0))
-        self.heads = bpe.Remembered(lambda w: self._extend(w, [0], [0]))
-        self.pairs = bpe.Remembered(self._pair, 1_000_000)
+        self.heads = bpe.Remembered(lambda w: self._extend(w, [0], [0]), REMEMBERED)
+        self.pairs = bpe.Remembered(self._pair, REMEMBERED)
         self.steps = bpe.Remembered(self._steps, REMEMBERED)
 
     def _pair(self, pair: int) -> bool:
