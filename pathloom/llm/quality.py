@@ -13,7 +13,8 @@ Defined cases: a null or empty text is scored by the thresholds alone with no wo
 kept or not by the same rule); labels that are null, without a document or doubled: a row with
 a null rating or id isn't used, of several labels the worst counts; without any labels nothing
 is learned, all grades are as likely as their prior of one half and all documents are kept;
-repeated rows are scored alike; other columns are not read.
+repeated rows and equal texts (ties) are scored alike, and kept or not together; a very long text
+is scored whole; no rows in give no rows out; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
