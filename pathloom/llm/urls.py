@@ -16,15 +16,16 @@
 
 Defined cases: a URL that is null, empty or without a host has the host '' and the path given;
 pages without a label count as pages only; a null label is none, of several labels of a key
-the worst counts; repeated rows are pages of their own; without any labels the prior is 0 and
-nothing is rejected; other columns are not read.
+the worst counts; repeated rows are pages of their own, ties in counts change nothing, very
+long URLs are read whole; without any labels the prior is 0 and nothing is rejected; no pages
+give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import checkpointed
@@ -36,21 +37,24 @@ HEX, DIGITS = r"[0-9a-f]{12,}", r"[0-9]+"
 KEY = r"([0-9]+)[^0-9/]*/?$"
 
 
-def _labelled(pages: DataFrame, labels: DataFrame, page_id: str, url: str, label_id: str, bad: str) -> DataFrame:
+def _labelled(pages: DataFrame, labels: DataFrame, page_id: str, url: str, label_id: str, bad: str, key: str) -> DataFrame:
     u = F.coalesce(F.col(url).cast("string"), F.lit(""))
     path = F.regexp_extract(u, PATH, 1)
     seg = F.regexp_replace(F.regexp_replace(path, HEX, "{h}"), DIGITS, "{n}")
-    own = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.lower(F.regexp_extract(u, HOST, 1)).alias("host"), F.filter(F.split(seg, "/"), lambda x: x != "").alias("segs"), F.regexp_extract(path, KEY, 1).try_cast("bigint").alias("k"))
+    own = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.lower(F.regexp_extract(u, HOST, 1)).alias("host"), F.filter(F.split(seg, "/"), lambda x: x != "").alias("segs"), F.regexp_extract(path, key, 1).try_cast("bigint").alias("k"))
     marks = labels.select(F.col(label_id).cast("bigint").alias("k"), F.expr(bad).cast("int").alias("bad")).where("k IS NOT NULL AND bad IS NOT NULL").groupBy("k").agg(F.max("bad").alias("bad"))
     return own.join(marks, "k", "left").select("page_id", "host", "segs", "bad")
 
 
 def _level(tree: DataFrame, level: int, many: int, alike: float) -> DataFrame:
-    """The tree with the next level's names added to its nodes; kept is the last level at which a branch differs."""
+    """The tree with the next level's names added to its nodes; kept is the last level at which a branch differs.
+
+    Children and nodes are counted by aggregates, combined before they are sent, so that a node of many children needs no task of its own.
+    """
     here = tree.withColumn("seg", F.when(F.size("segs") > level, F.element_at("segs", level + 1)))
     child = here.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
-    of = Window.partitionBy("host", "node")
-    about = child.select("host", "node", "seg", "n", "l", "b", F.count(F.lit(1)).over(of).alias("children"), F.sum("n").over(of).alias("pn"), F.max("n").over(of).alias("top"), F.sum("l").over(of).alias("pl"), F.sum("b").over(of).alias("pb"))
+    parent = child.groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("pn"), F.max("n").alias("top"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    about = child.join(parent, ["host", "node"])
     over = lambda x, y: x / F.nullif(y, F.lit(0))
     share, own = over(F.col("pb"), F.col("pl")), over(F.col("b"), F.col("l"))
     differs = (F.col("children") > 1) & (F.col("l") > 0) & (F.abs(own - share) > alike * F.sqrt(over(share * (1 - share), F.col("l"))))
@@ -72,9 +76,8 @@ def _deeper(tree: DataFrame, levels: int, many: int, alike: float) -> DataFrame:
     done, level = [tree.where(F.size("segs") <= levels)], levels
     tree = tree.where(F.size("segs") > levels)
     while True:
-        of = Window.partitionBy("host", "node")
-        mixed = (F.sum("b").over(of) > 0) & (F.sum("b").over(of) < F.sum("l").over(of))
-        tree = checkpointed(tree.withColumn("open", mixed & (F.size("segs") > level)))
+        mixed = tree.groupBy("host", "node").agg(((F.sum("b") > 0) & (F.sum("b") < F.sum("l"))).alias("mixed"))
+        tree = checkpointed(tree.join(mixed, ["host", "node"]).withColumn("open", F.col("mixed") & (F.size("segs") > level)).drop("mixed"))
         done.append(tree.where("NOT open").drop("open"))
         tree = tree.where("open").drop("open")
         if tree.isEmpty():
@@ -85,16 +88,18 @@ def _deeper(tree: DataFrame, levels: int, many: int, alike: float) -> DataFrame:
         tree = deep.withColumn("name", F.when(F.col("kept") == level, F.col("node")).otherwise(F.col("name")))
 
 
-def url_templates(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", levels: int = LEVELS, many: int = MANY, alike: float = ALIKE, weight: float = WEIGHT, purest: float = PUREST) -> DataFrame:
-    """A row for each page: page_id, host, template, n_pages, n_labelled, n_bad, purity, rejected. The label's key is the last number of the URL's path."""
-    each = _labelled(pages, labels, page_id, url, label_id, bad)
+def url_templates(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", levels: int = LEVELS, many: int = MANY, alike: float = ALIKE, weight: float = WEIGHT, purest: float = PUREST, key: str = KEY) -> DataFrame:
+    """A row for each page: page_id, host, template, n_pages, n_labelled, n_bad, purity, rejected. A page's label has the number as its id that the pattern ``key`` finds in the URL's path, by default the last one."""
+    each = _labelled(pages, labels, page_id, url, label_id, bad, key)
     paths = each.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    tree = paths.withColumns({"node": F.lit(""), "kept": F.lit(0)})
-    for level in range(levels):
-        tree = _level(tree, level, many, alike)
+    # pages are read here and once more for the result; each level starts from the one before, kept, and not from the pages
+    tree = checkpointed(paths.withColumns({"node": F.lit(""), "kept": F.lit(0)}))
+    deepest = tree.agg(F.max(F.size("segs"))).first()[0] or 0
+    for level in range(min(levels, deepest)):
+        tree = checkpointed(_level(tree, level, many, alike))
     tree = tree.withColumns({"name": F.col("node"), "kept": F.least(F.size("segs"), F.lit(levels))})
-    if (each.agg(F.max(F.size("segs"))).first()[0] or 0) > levels:
-        tree = _deeper(checkpointed(tree), levels, many, alike)
+    if deepest > levels:
+        tree = _deeper(tree, levels, many, alike)
     tree = tree.select("host", "segs", "n", "l", "b", F.concat("name", F.when(F.size("segs") > F.col("kept"), "/**").otherwise("")).alias("node"))
     total = tree.agg(F.sum("b").alias("tb"), F.sum("l").alias("tl"))
     template = tree.groupBy("host", "node").agg(F.sum("n").alias("n_pages"), F.sum("l").alias("n_labelled"), F.sum("b").alias("n_bad")).crossJoin(total)  # one row
