@@ -120,10 +120,24 @@ class Codec:
     def __init__(self, raw: bytes):
         self.ranks = read_ranks(raw)
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.packed = Remembered(lambda w: np.array(encode_word(w.encode(), self.ranks), np.int32).tobytes())
+        self.packed = Remembered(self._pack)
+        self.lossy: set[str] = set()
+
+    def _pack(self, word: str) -> bytes:
+        raw = word.encode()
+        ids = encode_word(raw, self.ranks)
+        if self.decode(ids) != raw:
+            self.lossy.add(word)
+        return np.array(ids, np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.packed.__getitem__, pretokens(text))), np.int32)
+        return self.checked(text)[0]
+
+    def checked(self, text: str) -> tuple[np.ndarray, bool]:
+        """The tokens, and whether decoding them gives the text: each word is decoded when it is encoded, and the words must make up the text."""
+        words = pretokens(text)
+        ids = np.frombuffer(b"".join(map(self.packed.__getitem__, words)), np.int32)
+        return ids, "".join(words) == text and not (self.lossy and any(w in self.lossy for w in words))
 
     def decode(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, tokens))
@@ -158,10 +172,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
             for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
                 parts, same, sizes = [], [], []
                 for t in b.column(1).to_pylist():
-                    ids = own.encode(t or "")
+                    ids, whole_again = own.checked(t or "")
                     parts.append(ids)
                     sizes.append(None if t is None else len(ids))
-                    same.append(None if t is None else own.decode(ids.tolist()) == t.encode())
+                    same.append(None if t is None else whole_again)
                 offsets = np.cumsum([0, *(len(p) for p in parts)])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)), mask=pa.array([s is None for s in sizes]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), tokens, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "tokens", "round_trip"])
