@@ -13,7 +13,8 @@ else ``owner_specific`` (one owner), ``copied_example`` (``spread`` owners or mo
 
 Defined cases: a null or empty text has no candidates; a null source is one unnamed
 repository; a null id is a document of its own in each repository; repeated rows add to
-n_occurrences and are one document; other columns are not read.
+n_occurrences and are one document; very long texts and values are read whole, ties in counts
+change nothing; no rows in give no rows out; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import checkpointed
+from pathloom.llm.common import checkpointed, fresh
 
 _NAMED = r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]"""
 ASSIGNED = _NAMED + r"""\s*["']([A-Za-z0-9+/=_.-]{16,})["']"""
@@ -33,8 +34,9 @@ PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your|dummy|xxxx|0000|123
 VARIETY, SPREAD = 8, 3
 MASK = "[SECRET]"
 # every match holds one of these; looking for them first spares most texts the patterns
-_NAMES = ("token", "secret", "passwd", "password", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth")
+_NAMES = ("token", "secret", "passw", "key", "auth")
 _STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza")
+_NONE = "array<struct<kind:string,value:string>>"
 
 
 def candidates(text: Column) -> Column:
@@ -42,16 +44,19 @@ def candidates(text: Column) -> Column:
     def any_of(where: Column, parts: tuple[str, ...]) -> Column:
         return reduce(lambda a, b: a | b, (where.contains(p) for p in parts))
 
-    def each(kind: str, pattern: str, possible: Column) -> Column:
-        found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
-        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def each(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    named = any_of(F.lower(text), _NAMES)
-    return F.concat(each("assigned", ASSIGNED, named & any_of(text, ('"', "'"))), each("assigned", BARE, named), each("token_form", FORMS, any_of(text, _STARTS)))
+    none = F.array().cast(_NONE)
+    # the text is put into lower case once, as the only element, and not for each name
+    named = F.exists(F.array(F.lower(text)), lambda low: any_of(low, _NAMES))
+    assigned = F.concat(F.when(any_of(text, ('"', "'")), each("assigned", ASSIGNED)).otherwise(none), each("assigned", BARE))
+    return F.concat(F.when(named, assigned).otherwise(none), F.when(any_of(text, _STARTS), each("token_form", FORMS)).otherwise(none))
 
 
-def _postings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    each = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("repo"), F.explode(candidates(F.col(text).cast("string"))).alias("c"))
+def _postings(docs: DataFrame, doc_id: str, source: str, found: Column) -> DataFrame:
+    """A row for each document, repository and candidate of those found."""
+    each = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("repo"), F.explode(found).alias("c"))
     return checkpointed(each.select("doc_id", "repo", F.substring_index("repo", "/", 1).alias("owner"), "c.kind", "c.value").groupBy("doc_id", "repo", "owner", "kind", "value").agg(F.count(F.lit(1)).alias("n_occurrences")))
 
 
@@ -67,7 +72,7 @@ def _ownership(postings: DataFrame, spread: int, variety: int) -> DataFrame:
 
 def secret_ownership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", spread: int = SPREAD, variety: int = VARIETY) -> DataFrame:
     """A row for each document, repository and candidate: doc_id, repo, kind, secret_hash (SHA-256), n_occurrences in it, and the hash's n_docs, n_repos, n_owners and verdict. The value itself isn't returned."""
-    postings = _postings(docs, doc_id, text, source)
+    postings = _postings(docs, doc_id, source, candidates(F.col(text).cast("string")))
     rows = postings.drop("owner").join(_ownership(postings, spread, variety), ["kind", "value"])
     return rows.select("doc_id", "repo", "kind", F.sha2("value", 256).alias("secret_hash"), "n_occurrences", "n_docs", "n_repos", "n_owners", "verdict")
 
@@ -97,14 +102,17 @@ def mask_live_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Only rows with a candidate are joined with the verdicts; a row's live values are those of its id (a null id included).
     """
-    own, c = docs.columns, F.size(F.coalesce(candidates(F.col(text).cast("string")), F.array()))
-    postings = _postings(docs, doc_id, text, source)
-    live = _ownership(postings, spread, variety).where("verdict = 'owner_specific'").select("kind", "value")
-    lists = postings.join(live, ["kind", "value"]).groupBy(F.col("doc_id").alias("__live_id")).agg(F.collect_set("value").alias("__live"))
-    some = docs.where(c > 0).join(lists, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__live_id")), "left")
-    values = F.array_sort(F.coalesce("__live", F.array().cast("array<string>")), lambda x, y: F.length(y) - F.length(x))
+    own, found, live_id, live = docs.columns, *(fresh(docs, n) for n in ("found", "live_id", "live"))
+    c = candidates(F.col(text).cast("string"))
+    # the rows with a candidate are few and kept with what was found; the corpus is read once for them and once for the rest
+    some = checkpointed(docs.withColumn(found, c).where(F.size(found) > 0))
+    postings = _postings(some, doc_id, source, F.col(found))
+    specific = _ownership(postings, spread, variety).where("verdict = 'owner_specific'").select("kind", "value")
+    lists = postings.join(specific, ["kind", "value"]).groupBy(F.col("doc_id").alias(live_id)).agg(F.collect_set("value").alias(live))
+    some = some.join(lists, F.col(doc_id).cast("bigint").eqNullSafe(F.col(live_id)), "left")
+    values = F.array_sort(F.coalesce(live, F.array().cast("array<string>")), lambda x, y: F.length(y) - F.length(x))
     masked = F.aggregate(values, F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK)))
     some = some.withColumn(text, masked)
     if n_chars in own:
         some = some.withColumn(n_chars, F.when(F.size(values) > 0, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return docs.where(c == 0).unionByName(some.select(*own))
+    return docs.where(F.size(c) == 0).unionByName(some.select(*own))
