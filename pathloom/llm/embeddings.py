@@ -24,7 +24,8 @@ probes the lists from its own on upward.
 Defined cases: vectors that are null, empty, of zero length, of another number of dimensions
 than most, or with a null, NaN or infinite value match nothing, nor does a null id; rows of
 one id are never a pair of each other, and a pair found more than once is given once with the
-greatest cosine; equal vectors all pair up; no rows give no rows; other columns are not read.
+greatest cosine; equal vectors (ties) all pair up; vectors of any length are read whole; no rows
+give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,12 @@ QUERIES = 512
 
 
 def matrix(col: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dims)
+    """Vectors held as bytes, none of them null, without a copy."""
+    _, offsets, data = col.buffers()
+    if not len(col):
+        return np.zeros((0, dims), np.float32)
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.float32).reshape(-1, dims)
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -79,25 +85,46 @@ class Quantiser:
         return code.astype(np.uint8), np.sqrt((left * left).sum((1, 2)))
 
 
+SUMS = "k bigint, n bigint, s binary"
+
+
+def _sums(total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(count)
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["k", "n", "s"])
+
+
 def _means(rows: DataFrame, dims: int, keys: int, width: int, label) -> dict[int, np.ndarray]:
-    """Mean vectors by key, of the (keys, vectors) that label makes of a matrix; sums are combined before they are sent."""
+    """Mean vectors by key, of the (keys, vectors) that label makes of a matrix; sums are combined in each task, and by key before the driver gets a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros((keys, width)), np.zeros(keys, np.int64)
         for b in batches:
             k, v = label(matrix(b.column(1), dims))
-            np.add.at(total, k, v)
+            order = np.argsort(k, kind="stable")
+            first = np.flatnonzero(np.diff(k[order], prepend=-1))
+            if len(first):
+                total[k[order][first]] += np.add.reduceat(v[order], first, axis=0, dtype=np.float64)
             count += np.bincount(k, minlength=keys)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], ["k", "n", "s"])
+        yield _sums(total, count)
 
-    sums = rows.mapInArrow(run, "k bigint, n bigint, s array<double>").groupBy("k").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)))
-    return {r[0]: np.array(r[2:]) / r[1] for r in sums.collect()}
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((keys, width)), np.zeros(keys, np.int64)
+        for b in batches:
+            k = b.column(0).to_numpy()
+            np.add.at(total, k, np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(-1, width))
+            np.add.at(count, k, b.column(1).to_numpy())
+        yield _sums(total, count)
+
+    sums = rows.mapInArrow(run, SUMS).repartition("k").mapInArrow(combine, SUMS)
+    return {r[0]: np.frombuffer(r[2]) / r[1] for r in sums.collect()}
 
 
-def train(rows: DataFrame, dims: int, n: int, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS) -> Quantiser:
-    """Lloyd rounds over all vectors; starts are the vectors of the least hashes. The model has at most MOST_LISTS centroids, whatever the number of vectors."""
-    lists = int(min(MOST_LISTS, max(1, round(n**0.5))))
+def train(rows: DataFrame, dims: int, n: int, subspaces: int = SUBSPACES, codes: int = CODES, rounds: int = ROUNDS, most_lists: int = MOST_LISTS) -> Quantiser:
+    """Lloyd rounds over all vectors; starts are the vectors of the least hashes.
+
+    ``most_lists`` bounds the model, which driver and workers hold; longer lists are searched in blocks, with the same result.
+    """
+    lists = int(min(most_lists, max(1, round(n**0.5))))
     first = np.stack([np.frombuffer(r[0], np.float32) for r in rows.orderBy(F.xxhash64("v"), "id").limit(max(lists, min(codes, n))).select("v").collect()])
     own = Quantiser(first[:lists].copy())
     for _ in range(rounds):
@@ -121,32 +148,36 @@ def train(rows: DataFrame, dims: int, n: int, subspaces: int = SUBSPACES, codes:
 
 def _postings(own: Quantiser, dims: int, radius: float, reach: float, blocks: dict[int, int], widest: dict[int, float]):
     """Of each vector: a member row in its list's block, and a query row for each block of each list it can reach."""
-    c = own.centroids.astype(np.float64)
-    between = np.sqrt(distances(c, c))
-    far = np.array([widest.get(k, -np.inf) for k in range(len(c))])
+    far = np.array([widest.get(k, -np.inf) for k in range(len(own.centroids))])
+
+    def probes(x: np.ndarray, home: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (query, list) pairs to search; distances between centroids are worked out for those at hand, so no table of lists by lists is held."""
+        d = distances(x.astype(np.float64), c)
+        probe = (np.arange(len(c)) >= home[:, None]) & (np.sqrt(d) <= far + radius + 1e-3)
+        # lists are told apart in single precision, hence the allowance
+        for k in (home, *np.argpartition(d, min(NEAREST, len(c)) - 1, 1)[:, :NEAREST].T):
+            some, of = np.unique(k, return_inverse=True)
+            probe &= d - d[np.arange(len(x)), k][:, None] <= (2 * reach * np.sqrt(distances(c[some], c)) + 1e-5)[of]
+        q, at = np.nonzero(probe)
+        return q, at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = own.centroids.astype(np.float64)
         for whole in batches:
             for b in (whole.slice(k, QUERIES) for k in range(0, whole.num_rows, QUERIES)):
                 ids, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dims)
                 home, rest = own.residuals(x)
                 code, err = own.codes(rest)
-                d = distances(x.astype(np.float64), c)
-                probe = (np.arange(len(c)) >= home[:, None]) & (np.sqrt(d) <= far + radius + 1e-3)
-                # lists are told apart in single precision, hence the allowance
-                for k in (home, *np.argpartition(d, min(NEAREST, len(c)) - 1, 1)[:, :NEAREST].T):
-                    probe &= d - d[np.arange(len(x)), k][:, None] <= 2 * reach * between[k] + 1e-5
-                q, at = np.nonzero(probe)
+                q, at = probes(x, home, c)
                 parts = np.array([blocks.get(k, 1) for k in at.tolist()], np.int64)
                 block = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 q, at = np.repeat(q, parts), np.repeat(at, parts)
-                raw = b.column(1).to_pylist()
                 mine = np.array([i % blocks.get(k, 1) for i, k in zip(ids.tolist(), home.tolist())], np.int64)
                 n, m = len(ids), len(q)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([home, at])), pa.array(np.concatenate([mine, block])), pa.array(np.repeat([False, True], [n, m])), pa.array(np.concatenate([ids, ids[q]])),
-                        pa.array([*raw, *(raw[k] for k in q.tolist())], pa.binary()), pa.array([*(r.tobytes() for r in code), *[None] * m], pa.binary()), pa.array(np.concatenate([err, np.full(m, 0)]).astype(np.float64)), pa.array(np.concatenate([home, home[q]])),
+                        pa.concat_arrays([b.column(1), b.column(1).take(pa.array(q))]), pa.array([*(r.tobytes() for r in code), *[None] * m], pa.binary()), pa.array(np.concatenate([err, np.full(m, 0)]).astype(np.float64)), pa.array(np.concatenate([home, home[q]])),
                     ],
                     ["l", "p", "query", "id", "v", "code", "err", "home"],
                 )
@@ -157,21 +188,30 @@ def _postings(own: Quantiser, dims: int, radius: float, reach: float, blocks: di
 def _search(own: Quantiser, dims: int, radius: float, least: float):
     """Of rows in the order of list, block and kind, members first: pairs."""
 
+    squares = (own.words * own.words).sum(2)
+
     def against(members: list, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = members[0]
         ids, x, code, err = members[1:]
+        used = [np.unique(code[:, m], return_inverse=True) for m in range(code.shape[1])]
+        limit = ((radius + err + 1e-3) ** 2).astype(np.float32)[:, None]
         for k in range(0, b.num_rows, QUERIES):
             s = b.slice(k, QUERIES)
             qi, qv, home = s.column(3).to_numpy(), matrix(s.column(4), dims), s.column(7).to_numpy()
             p = own.parts(qv - own.centroids[at])
-            table = np.stack([distances(p[:, m], own.words[m]) for m in range(len(own.words))], 1)
-            total = np.zeros((len(qi), len(ids)), np.float32)
+            total = np.tile((p * p).sum((1, 2)), (len(ids), 1))
             for m in range(len(own.words)):
-                total += table[:, m][:, code[:, m]]
-            q, o = np.nonzero(np.sqrt(total) <= radius + err + 1e-3)
+                # a codeword's row holds its distance from every query (without the query's own square), so that a member's look-up copies one row
+                words, at_word = used[m]
+                table = own.words[m, words] @ (-2 * p[:, m].T)
+                table += squares[m, words][:, None]
+                total += np.take(table, at_word, axis=0)
+            o, q = np.nonzero(total <= limit)
             # in their own list both of a pair ask; the lesser id's question counts
             once = (qi[q] != ids[o]) & ((home[q] != at) | (qi[q] < ids[o]))
             q, o = q[once], o[once]
+            near = (qv[q] * x[o]).sum(1) >= least - 1e-4
+            q, o = q[near], o[near]
             cos = np.einsum("ij,ij->i", qv[q].astype(np.float64), x[o].astype(np.float64))
             ok = cos >= least
             a, z = qi[q][ok], ids[o][ok]
@@ -213,7 +253,7 @@ def _unit(docs: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
     return source.where(F.size("e") == dims).mapInArrow(run, "id bigint, v binary"), dims
 
 
-def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = REACH) -> DataFrame:
+def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = REACH, most_lists: int = MOST_LISTS) -> DataFrame:
     """Pairs vec_a < vec_b with cosine >= least."""
     schema = "vec_a bigint, vec_b bigint, cosine double"
     unit, dims = _unit(vectors, vec_id, vector)
@@ -223,7 +263,7 @@ def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     n = unit.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    own, radius = train(unit, dims, n), float(np.sqrt(max(0.0, 2 - 2 * least)))
+    own, radius = train(unit, dims, n, most_lists=most_lists), float(np.sqrt(max(0.0, 2 - 2 * least)))
     sizes = _sizes(unit, own, dims)
     blocks = {k: -(-v // block) for k, (v, _) in sizes.items() if v > block}
     posted = unit.mapInArrow(_postings(own, dims, radius, radius if reach is None else radius * min(1.0, reach / dims**0.5), blocks, {k: w for k, (_, w) in sizes.items()}), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
@@ -232,7 +272,7 @@ def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
 
 def _sizes(unit: DataFrame, own: Quantiser, dims: int) -> dict[int, tuple[int, float]]:
-    """Members of each list, and their greatest distance from its centroid (at most MOST_LISTS rows)."""
+    """Members of each list, and their greatest distance from its centroid (a row for each list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
