@@ -624,25 +624,48 @@ class Catalog:
                 raise BadRequest(f"unknown column {c}")
         return rows.select(*(F.col(f"`{c}`").cast(table.columns[c].type.spark).alias(c) for c in rows.columns))
 
-    def changed(self, table: Table, after: DataFrame, columns: list[str], kind: str, changes: list[Change] | None = None, added: DataFrame | None = None) -> DataFrame:
-        mutations.check_types(table, after)
-        for k in table.keys:
-            if k.enforced and set(k.columns) & set(columns):
-                full = after.where(reduce(and_, (F.col(f"`{c}`").isNotNull() for c in k.columns)))
-                if mutations.some(full.groupBy(*(f"`{c}`" for c in k.columns)).count().where("count > 1")):
-                    raise Conflict(f"rows would share a key ({', '.join(k.columns)})")
-        self.check_fkeys(table, after)
-        before = self.rows[table.id]
-        for t, f in self.model.references(table):
-            if f.enforced and set(f.target_columns) & set(columns):
-                self.rows[table.id] = after
-                try:
-                    self.check_fkeys(t, self.rows[t.id])
-                finally:
-                    self.rows[table.id] = before
-        self.put(table, after, kind, added, changes=changes)
+    def changed(self, table: Table, after: DataFrame, columns: list[str], kind: str, changes: list[Change] | None = None, added: DataFrame | None = None, also: dict | None = None) -> DataFrame:
+        """Puts what a write has made of the columns of a table, and also of other tables that follow it, if all of it holds together."""
+        states = {table.id: (after, columns, changes), **(also or {})}
+        before = {k: self.rows[k] for k in states}
+        try:
+            self.rows.update({k: df for k, (df, *_) in states.items()})
+            for name, (df, cols, _) in states.items():
+                t = self.model.table(*name)
+                mutations.check_types(t, df)
+                for k in t.keys:
+                    if k.enforced and set(k.columns) & set(cols):
+                        full = df.where(reduce(and_, (F.col(f"`{c}`").isNotNull() for c in k.columns)))
+                        if mutations.some(full.groupBy(*(f"`{c}`" for c in k.columns)).count().where("count > 1")):
+                            raise Conflict(f"rows would share a key ({', '.join(k.columns)})")
+                self.check_fkeys(t, df)
+                for child, f in self.model.references(t):
+                    if f.enforced and set(f.target_columns) & set(cols):
+                        self.check_fkeys(child, self.rows[child.id])
+        finally:
+            self.rows.update(before)
+        now = self.clock()
+        for k, (name, (df, _, own)) in enumerate(states.items()):
+            self.put(self.model.table(*name), df, kind, added if name == table.id else None, now, k == len(states) - 1, own)
         return self.rows[table.id]
 
+    def follow(self, table: Table, change: Change, columns: list[str], out: dict) -> dict:
+        """What foreign keys make of other tables where the keys that they refer to change: by table its rows, the columns changed, and the changes."""
+        for t, f in self.model.references(table):
+            if not f.enforced or f.on_update in ("NO ACTION", "RESTRICT") or not set(f.target_columns) & set(columns) or t is table:
+                continue
+            old = {c: f"old|{c}" for c in f.target_columns}
+            now = out[table.id][3] if table.id in out else self.rows[table.id]
+            both = change.how(now.withColumns({o: F.col(f"`{c}`") for c, o in old.items()}))
+            new = {"CASCADE": lambda c, k: F.col(f"`{c}`"), "SET NULL": lambda c, k: F.lit(None), "SET DEFAULT": lambda c, k: F.lit(t.columns[k].default)}[f.on_update]
+            moved = both.where(~reduce(and_, (F.col(f"`{c}`").eqNullSafe(F.col(f"`{o}`")) for c, o in old.items())))
+            moved = self.staged(moved.select(*(F.col(f"`{old[c]}`").alias(k) for c, k in zip(f.target_columns, f.columns)), *(new(c, k).cast(t.columns[k].type.spark).alias(f"to|{k}") for c, k in zip(f.target_columns, f.columns))))
+            own = Change(moved, list(f.columns), lambda df, moved=moved, f=f: mutations.update(df, moved, {k: k for k in f.columns}, {k: f"to|{k}" for k in f.columns}))
+            rows, cols, done, _ = out.get(t.id, (self.rows[t.id], [], [], None))
+            out[t.id] = own.how(rows), [*cols, *f.columns], [*done, own], rows
+            self.follow(t, own, list(f.columns), out)
+        return out
+
     def update(self, path: str, rows: DataFrame, client: Client | None = None) -> DataFrame:
         """``attributegroup/T/k;a,b``: rows that match on k take a and b; rows that match nothing are ignored. ``old:=k;new:=k`` renames a key. Returns the table."""
         client = client or LOCAL
@@ -667,7 +690,8 @@ class Catalog:
         self.allowed_rows(table, "update", client, self.matched(current, rows.select(*(F.col(f"`{v}`").alias(k) for k, v in key.items())), list(key), nullable), right)
         stamp = self.stamp(table, client)
         change = Change(rows.select(*(F.col(f"`{v}`").alias(k) for k, v in key.items())), list(key), lambda df: mutations.update(df, rows, key, targets, stamp, nullable), nullable)
-        return self.changed(table, change.how(current), list(targets), "update", [change])
+        also = {k: v[:3] for k, v in self.follow(table, change, list(targets), {}).items()}
+        return self.changed(table, change.how(current), list(targets), "update", [change], also=also)
 
     def hits(self, q: S.Query, client: Client) -> tuple[Plan, Table, DataFrame, list[str]]:
         if q.snapshot:

@@ -37,12 +37,12 @@ class Clock:
 @pytest.fixture()
 def basic(spark):
     c = Catalog(spark, clock=Clock())
-    c.create(doc("basic1", [column("id", "int8", False), column("name", "text"), column("a_text", "text[]"), column("a_int4", "int4[]")], [["id"]]))
-    c.create(doc("basic2", [column("id", "int8", False), column("level1_id", "int8"), column("name", "text")], [["id"]], [("level1_id", "basic1", "id", {})]))
+    c.create(doc("top", [column("id", "int8", False), column("name", "text"), column("a_text", "text[]"), column("a_int4", "int4[]")], [["id"]]))
+    c.create(doc("leaf", [column("id", "int8", False), column("level1_id", "int8"), column("name", "text")], [["id"]], [("level1_id", "top", "id", {})]))
     one = [(1, "foo", ["one", "foo", "BAR", "BAZ"], [0, 1]), (2, "bar", ["two", "FOO", "bar", "BAZ"], [0, 2]), (3, "baz", ["three", "FOO", "BAR", "baz"], [0, 3]), (4, "unreferenced", None, None)]
-    c.insert("entity/basic1", spark.createDataFrame(one, "id long, name string, a_text array<string>, a_int4 array<int>"))
+    c.insert("entity/top", spark.createDataFrame(one, "id long, name string, a_text array<string>, a_int4 array<int>"))
     two = [(1, "foo 1", 1), (2, "foo 2", 1), (3, "bar 1", 2), (4, "baz 1", 3), (5, "disconnected", None)]
-    c.insert("entity/basic2", spark.createDataFrame(two, "id long, name string, level1_id long"))
+    c.insert("entity/leaf", spark.createDataFrame(two, "id long, name string, level1_id long"))
     return c
 
 
@@ -52,7 +52,7 @@ def ids(df):
 
 @pytest.mark.parametrize("how,want", [("", (3, 4, 4)), ("left", (4, 4, 5)), ("right", (3, 5, 5)), ("full", (4, 5, 6))])
 def test_joins(basic, how, want):
-    r = basic.query(f"aggregate/A:=basic1/{how}(id)=(basic2:level1_id)/a:=cnt_d(A:id),b:=cnt_d(id),n:=cnt(*)").first()
+    r = basic.query(f"aggregate/A:=top/{how}(id)=(leaf:level1_id)/a:=cnt_d(A:id),b:=cnt_d(id),n:=cnt(*)").first()
     assert (r.a, r.b, r.n) == want
 
 
@@ -62,26 +62,26 @@ def test_joins(basic, how, want):
     ("a_text::null::", [4]), ("!(id=1;id=2)", [3, 4]), ("name::ts::foo", [1]), ("id=1;id=2&name=foo", [1]), ("name=", []), ("a_int4::geq::3", [3]),
 ])
 def test_predicates(basic, cond, want):
-    assert ids(basic.query(f"entity/basic1/{cond}")) == want
+    assert ids(basic.query(f"entity/top/{cond}")) == want
 
 
 def test_distinct_and_links(basic):
-    assert ids(basic.query("entity/A:=basic1/basic2/$A")) == [1, 2, 3]
-    assert ids(basic.query("entity/basic2/(level1_id)")) == [1, 2, 3]
-    assert ids(basic.query("entity/basic1/id=1/(basic2:level1_id)")) == [1, 2]
-    assert ids(basic.query("entity/A:=basic1/B:=basic2/A:name=foo&B:name::regexp::2")) == [2]
+    assert ids(basic.query("entity/A:=top/leaf/$A")) == [1, 2, 3]
+    assert ids(basic.query("entity/leaf/(level1_id)")) == [1, 2, 3]
+    assert ids(basic.query("entity/top/id=1/(leaf:level1_id)")) == [1, 2]
+    assert ids(basic.query("entity/A:=top/B:=leaf/A:name=foo&B:name::regexp::2")) == [2]
     with pytest.raises(Conflict):
-        basic.query("entity/basic1/basic1")
-    assert len(basic.query("attribute/A:=basic1/(id)=(basic2:level1_id)/$A/id,x:=basic2:name").collect()) == 3
+        basic.query("entity/top/top")
+    assert len(basic.query("attribute/A:=top/(id)=(leaf:level1_id)/$A/id,x:=leaf:name").collect()) == 3
 
 
-@pytest.mark.parametrize("path", ["entity/basic1@after(1)", "entity/basic1@sort(id)@after(1,2)", "entity/basic1@sort(id)@before(3)", "aggregate/basic1/n:=cnt(*)@sort(n)", "entity/basic1/id=(1,2)", "entity/basic1/*=1", "aggregate/basic1/cnt(*)", "aggregate/basic1/id", "attribute/basic1/id,id", "entity/basic1/id=x", "nothing/basic1", "attribute/basic1", "entity/basic1@sort(nope)", "entity/A:=basic1/A:=basic2", "entity/basic1/id::what::1", "entity/basic1/id=some(1,2)", "attributegroup/basic1/b:=bin(id;0;1;2);n:=cnt(*)", "attributegroup/basic1/b:=bin(id;2;1;1);n:=cnt(*)", "aggregate/basic1/m:=sum(*)"])
+@pytest.mark.parametrize("path", ["entity/top@after(1)", "entity/top@sort(id)@after(1,2)", "entity/top@sort(id)@before(3)", "aggregate/top/n:=cnt(*)@sort(n)", "entity/top/id=(1,2)", "entity/top/*=1", "aggregate/top/cnt(*)", "aggregate/top/id", "attribute/top/id,id", "entity/top/id=x", "nothing/top", "attribute/top", "entity/top@sort(nope)", "entity/A:=top/A:=leaf", "entity/top/id::what::1", "entity/top/id=some(1,2)", "attributegroup/top/b:=bin(id;0;1;2);n:=cnt(*)", "attributegroup/top/b:=bin(id;2;1;1);n:=cnt(*)", "aggregate/top/m:=sum(*)"])
 def test_bad_requests(basic, path):
     with pytest.raises(BadRequest):
         basic.query(path)
 
 
-@pytest.mark.parametrize("path", ["aggregate/basic1/m:=sum(name)", "aggregate/basic1/m:=avg(a_int4)", "entity/basic1/nope=1", "entity/nope", "attributegroup/basic1/b:=bin(name;2;1;3);n:=cnt(*)"])
+@pytest.mark.parametrize("path", ["aggregate/top/m:=sum(name)", "aggregate/top/m:=avg(a_int4)", "entity/top/nope=1", "entity/nope", "attributegroup/top/b:=bin(name;2;1;3);n:=cnt(*)"])
 def test_conflicts(basic, path):
     with pytest.raises(Conflict):
         basic.query(path)
@@ -90,8 +90,8 @@ def test_conflicts(basic, path):
 def test_paging(spark):
     c = Catalog(spark)
     rows = [(n, v) for n in ("bar", "baz", "foo") for v in (0, 1, 2, 3, 4, None)] + [(None, 5), (None, None)]
-    c.register("pagedata", spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "id long, name string, value int"), ("id",))
-    n = lambda p, limit=None: len(c.query("entity/pagedata" + p, limit).collect())
+    c.register("shelf", spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "id long, name string, value int"), ("id",))
+    n = lambda p, limit=None: len(c.query("entity/shelf" + p, limit).collect())
     for p, want in [("@sort(name,value)@after(,4)", 20), ("@sort(name,value)@after(bar,3)", 16), ("@sort(name,value)@after(bar,::null::)", 14), ("@sort(name,value)@after(::null::,::null::)", 0), ("@sort(value,id)@after(::null::,12)", 2)]:
         assert n(p) == want
     for p, want in [("@sort(name,value)@before(,4)", 0), ("@sort(name,value)@before(bar,3)", 3), ("@sort(name,value)@before(bar,::null::)", 5), ("@sort(name,value)@before(::null::,::null::)", 19), ("@sort(value,id)@before(::null::,12)", 17)]:
@@ -101,12 +101,12 @@ def test_paging(spark):
     assert n("@sort(id)@after(0)@before(::null::)") == 20
     assert n("@sort(id)@after(0)@before(::null::)", 10) == 10
     # descending pages partition the rows at every bound
-    whole = [tuple(r) for r in c.query("attribute/pagedata/name,value,id@sort(name::desc::,value::desc::,id)").collect()]
+    whole = [tuple(r) for r in c.query("attribute/shelf/name,value,id@sort(name::desc::,value::desc::,id)").collect()]
     assert whole[0][0] is None
     for k, (a, b, i) in enumerate(whole):
         key = ",".join("::null::" if x is None else str(x) for x in (a, b, i))
-        after = c.query(f"attribute/pagedata/name,value,id@sort(name::desc::,value::desc::,id)@after({key})").collect()
-        before = c.query(f"attribute/pagedata/name,value,id@sort(name::desc::,value::desc::,id)@before({key})?limit=3").collect()
+        after = c.query(f"attribute/shelf/name,value,id@sort(name::desc::,value::desc::,id)@after({key})").collect()
+        before = c.query(f"attribute/shelf/name,value,id@sort(name::desc::,value::desc::,id)@before({key})?limit=3").collect()
         assert [tuple(r) for r in after] == whole[k + 1 :] and [tuple(r) for r in before] == whole[max(0, k - 3) : k]
         if k > 6:
             break
@@ -130,28 +130,28 @@ def test_bins(spark):
 
 def test_writes(basic, spark):
     with pytest.raises(Conflict):
-        basic.insert("entity/basic1", spark.createDataFrame([(1, "x")], "id long, name string"))
+        basic.insert("entity/top", spark.createDataFrame([(1, "x")], "id long, name string"))
     with pytest.raises(BadRequest):
-        basic.insert("entity/basic1", spark.createDataFrame([(7, "x"), (7, "y")], "id long, name string"))
+        basic.insert("entity/top", spark.createDataFrame([(7, "x"), (7, "y")], "id long, name string"))
     with pytest.raises(Conflict):
-        basic.insert("entity/basic2", spark.createDataFrame([(7, 99)], "id long, level1_id long"))
-    assert basic.insert("entity/basic1", spark.createDataFrame([(1, "x"), (8, "y")], "id long, name string"), onconflict="skip").count() == 1
-    basic.upsert("entity/basic1", spark.createDataFrame([(8, "z"), (9, "w")], "id long, name string"))
-    assert {r.id: r.name for r in basic.query("entity/basic1/id::gt::4").collect()} == {8: "z", 9: "w"}
-    basic.update("attributegroup/basic1/old:=id;new:=id", spark.createDataFrame([(9, 10)], "old long, new long"))
-    assert ids(basic.query("entity/basic1/id::gt::8")) == [10]
+        basic.insert("entity/leaf", spark.createDataFrame([(7, 99)], "id long, level1_id long"))
+    assert basic.insert("entity/top", spark.createDataFrame([(1, "x"), (8, "y")], "id long, name string"), onconflict="skip").count() == 1
+    basic.upsert("entity/top", spark.createDataFrame([(8, "z"), (9, "w")], "id long, name string"))
+    assert {r.id: r.name for r in basic.query("entity/top/id::gt::4").collect()} == {8: "z", 9: "w"}
+    basic.update("attributegroup/top/old:=id;new:=id", spark.createDataFrame([(9, 10)], "old long, new long"))
+    assert ids(basic.query("entity/top/id::gt::8")) == [10]
     with pytest.raises(Conflict):
-        basic.update("attributegroup/basic1/old:=id;new:=id", spark.createDataFrame([(1, 11)], "old long, new long"))
+        basic.update("attributegroup/top/old:=id;new:=id", spark.createDataFrame([(1, 11)], "old long, new long"))
     with pytest.raises(Conflict):
-        basic.delete("entity/basic1/id=1")
-    basic.delete("attribute/basic1/id=8/name")
-    assert basic.query("entity/basic1/id=8").first().name is None
+        basic.delete("entity/top/id=1")
+    basic.delete("attribute/top/id=8/name")
+    assert basic.query("entity/top/id=8").first().name is None
     with pytest.raises(Conflict):
-        basic.delete("attribute/basic1/id=8/id")
+        basic.delete("attribute/top/id=8/id")
     with pytest.raises(NotFound):
-        basic.delete("entity/basic1/id=99")
-    basic.delete("entity/basic2/name=disconnected")
-    assert ids(basic.query("entity/basic2")) == [1, 2, 3, 4]
+        basic.delete("entity/top/id=99")
+    basic.delete("entity/leaf/name=disconnected")
+    assert ids(basic.query("entity/leaf")) == [1, 2, 3, 4]
 
 
 @pytest.mark.parametrize("action,left", [("CASCADE", []), ("SET NULL", [(1, None)])])
@@ -189,19 +189,19 @@ def test_system_columns(spark):
 
 def test_snapshots(basic, spark):
     first = basic.changes[-1]
-    basic.update("attributegroup/basic1/id;name", spark.createDataFrame([(1, "changed")], "id long, name string"))
-    basic.delete("entity/basic2")
-    name = lambda at: basic.query(f"catalog/1@{moment_code(at)}/entity/basic1/id=1").first().name
+    basic.update("attributegroup/top/id;name", spark.createDataFrame([(1, "changed")], "id long, name string"))
+    basic.delete("entity/leaf")
+    name = lambda at: basic.query(f"catalog/1@{moment_code(at)}/entity/top/id=1").first().name
     assert name(first) == "foo" and name(basic.changes[-1]) == "changed"
-    assert basic.query(f"catalog/1@{moment_code(first)}/entity/basic2").count() == 5 and basic.query("entity/basic2").count() == 0
+    assert basic.query(f"catalog/1@{moment_code(first)}/entity/leaf").count() == 5 and basic.query("entity/leaf").count() == 0
     with pytest.raises(Conflict):
-        basic.query("catalog/1@2001-01-01/entity/basic1")
+        basic.query("catalog/1@2001-01-01/entity/top")
     with pytest.raises(Forbidden):
-        basic.delete(f"catalog/1@{moment_code(first)}/entity/basic1")
-    basic.redact_history(basic.model.table("basic1"), "name", only="id=1")
+        basic.delete(f"catalog/1@{moment_code(first)}/entity/top")
+    basic.redact_history(basic.model.table("top"), "name", only="id=1")
     assert name(first) is None
     basic.truncate_history(basic.changes[-1])
-    assert basic.query(f"catalog/1@{moment_code(basic.changes[-1])}/entity/basic2").count() == 0
+    assert basic.query(f"catalog/1@{moment_code(basic.changes[-1])}/entity/leaf").count() == 0
     assert moment_of(moment_code(first)) == first
 
 
@@ -211,17 +211,17 @@ def test_amended_intervals():
 
 
 def test_rights(basic):
-    t = basic.model.table("basic1")
+    t = basic.model.table("top")
     t.acls = {"select": ["reader"], "update": [], "delete": ["reader"], "insert": []}
-    assert basic.query("entity/basic1").count() == 0
+    assert basic.query("entity/top").count() == 0
     reader = Client("r", frozenset({"reader"}))
-    assert basic.query("entity/basic1", client=reader).count() == 4
+    assert basic.query("entity/top", client=reader).count() == 4
     t.acl_bindings = {"named": {"types": ["update"], "projection": [{"filter": "id", "operator": "::gt::", "operand": 2}, "a_text"], "projection_type": "nonnull"}}
     with pytest.raises(Forbidden):
-        basic.delete("attribute/basic1/id=1/name", client=reader)
-    basic.delete("attribute/basic1/id=3/name", client=reader)
+        basic.delete("attribute/top/id=1/name", client=reader)
+    basic.delete("attribute/top/id=3/name", client=reader)
     with pytest.raises(Forbidden):
-        basic.delete("entity/basic2/id=5", client=reader) if basic.model.table("basic2").acls.update({"delete": []}) is None else None
+        basic.delete("entity/leaf/id=5", client=reader) if basic.model.table("leaf").acls.update({"delete": []}) is None else None
 
 
 def test_rid_codec(spark):
@@ -233,13 +233,13 @@ def test_rid_codec(spark):
 
 
 def test_formats(basic, spark):
-    t = basic.model.table("basic1")
+    t = basic.model.table("top")
     back = formats.read_rows(spark, t, 'id,name,a_int4\n7,,"{1,2}"\n8,"",[3]\n9,"a ""b"",c",\n', formats.CSV).orderBy("id").collect()
     assert [tuple(r) for r in back] == [(7, None, [1, 2]), (8, "", [3]), (9, 'a "b",c', None)]
-    got = formats.render(basic.query("attribute/basic1/id,a_int4@sort(id)"), formats.CSV)
+    got = formats.render(basic.query("attribute/top/id,a_int4@sort(id)"), formats.CSV)
     assert got.splitlines()[:2] == ["id,a_int4", '1,"{0,1}"']
-    assert '"a_int4":null' in formats.render(basic.query("attribute/basic1/id=4/id,a_int4"), formats.JSON)
-    assert formats.render(basic.query("attribute/basic1/id=1/a_int4"), formats.CSV, "json").splitlines()[1] == '"[0,1]"'
+    assert '"a_int4":null' in formats.render(basic.query("attribute/top/id=4/id,a_int4"), formats.JSON)
+    assert formats.render(basic.query("attribute/top/id=1/a_int4"), formats.CSV, "json").splitlines()[1] == '"[0,1]"'
     assert formats.read_rows(spark, t, '[{"id": 1, "a_text": ["x"]}, {"id": 2}]').count() == 2
     assert formats.read_rows(spark, t, '{"id": 1}\n{"id": 2}\n', formats.LINES).count() == 2
     for body, kind, error in [("id,id\n1,2\n", formats.CSV, BadRequest), ("nope\n1\n", formats.CSV, BadRequest), ("", formats.CSV, BadRequest), ("[1]", formats.JSON, BadRequest), ("", "text/html", Unsupported)]:
@@ -248,27 +248,27 @@ def test_formats(basic, spark):
 
 
 def test_files(basic, spark, tmp_path):
-    t = basic.model.table("basic1")
+    t = basic.model.table("top")
     for kind in (formats.LINES, formats.CSV):
         path = str(tmp_path / kind.replace("/", "_"))
-        formats.write_files(basic.query("entity/basic1"), path, kind)
-        assert [tuple(r) for r in formats.read_files(spark, t, path, kind).orderBy("id").collect()] == [tuple(r) for r in basic.query("entity/basic1@sort(id)").collect()]
+        formats.write_files(basic.query("entity/top"), path, kind)
+        assert [tuple(r) for r in formats.read_files(spark, t, path, kind).orderBy("id").collect()] == [tuple(r) for r in basic.query("entity/top@sort(id)").collect()]
 
 
 def test_model_changes(basic, spark):
-    t = basic.model.table("basic1")
+    t = basic.model.table("top")
     from pathloom.plans.model import Column
 
     basic.add_column(t, Column("extra", Type.of("int4"), default=5))
-    assert basic.query("entity/basic1/extra=5").count() == 4
+    assert basic.query("entity/top/extra=5").count() == 4
     basic.alter_column(t, "name", new_name="title")
-    assert basic.query("entity/basic1/title=foo").count() == 1
+    assert basic.query("entity/top/title=foo").count() == 1
     basic.alter_table(t, name="renamed")
-    assert basic.query("entity/renamed/basic2").count() == 4
+    assert basic.query("entity/renamed/leaf").count() == 4
     basic.drop_column(t, "extra")
     with pytest.raises(Conflict):
         basic.drop_table(t)
-    basic.drop_table(basic.model.table("basic2"))
+    basic.drop_table(basic.model.table("leaf"))
     again = Catalog(spark)
     again.create(basic.model.document())
     assert set(again.model.table("renamed").columns) == {"id", "title", "a_text", "a_int4"}
@@ -297,13 +297,13 @@ def test_plans_push_filters_and_avoid_products(spark):
 def test_disabled_history_and_listeners(basic, spark):
     seen = []
     basic.listeners.append(seen.append)
-    basic.model.table("basic2").history = False
-    basic.delete("entity/basic2/id=5")
+    basic.model.table("leaf").history = False
+    basic.delete("entity/leaf/id=5")
     assert [w.kind for w in seen] == ["delete"]
 
 
 def test_descriptions_and_audit(basic, spark):
-    t = basic.model.table("basic1")
+    t = basic.model.table("top")
     basic.describe(t, comment="first", annotations={"tag:x": {"a": 1}}, acls={"select": ["*"]})
     assert (t.comment, t.annotations, t.acls) == ("first", {"tag:x": {"a": 1}}, {"select": ["*"]})
     basic.describe(t, annotations={"tag:x": None})
@@ -311,23 +311,23 @@ def test_descriptions_and_audit(basic, spark):
     with pytest.raises(BadRequest):
         basic.describe(t, acls={"fly": ["*"]})
     assert [tuple(r) for r in basic.meta("select").collect()] == [("select", "*")]
-    basic.update("attributegroup/basic1/id;name", spark.createDataFrame([(1, "new")], "id long, name string"))
+    basic.update("attributegroup/top/id;name", spark.createDataFrame([(1, "new")], "id long, name string"))
     seen = [tuple(r) for r in basic.audit(t, basic.changes[-1], show=("id", "name")).collect()]
     assert sorted(seen) == [("+", 1, "new"), ("-", 1, "foo")]
 
 
 def test_amended_models(basic):
-    basic.amend_models(lambda m: m.table("basic1").acls.update({"select": []}))
-    assert basic.query("entity/basic1").count() == 0
-    assert basic.query(f"catalog/1@{moment_code(basic.changes[-1])}/entity/basic1").count() == 0
+    basic.amend_models(lambda m: m.table("top").acls.update({"select": []}))
+    assert basic.query("entity/top").count() == 0
+    assert basic.query(f"catalog/1@{moment_code(basic.changes[-1])}/entity/top").count() == 0
 
 
 def test_rights_of_rows(basic):
-    basic.model.table("basic1").columns["RID"] = basic.model.table("basic1").columns["name"].__class__("RID", Type.of("text"))
-    t = basic.model.table("basic1")
+    basic.model.table("top").columns["RID"] = basic.model.table("top").columns["name"].__class__("RID", Type.of("text"))
+    t = basic.model.table("top")
     basic.rows[t.id] = basic.rows[t.id].withColumn("RID", rid.encode(F.col("id")))
     t.acls = {"update": [], "delete": []}
     t.acl_bindings = {"foo": {"types": ["update"], "projection": "name", "projection_type": "acl"}}
-    got = {r.id: r.r for r in basic.query("attribute/basic1/id,r:=trs(RID)", client=Client("foo")).collect()}
+    got = {r.id: r.r for r in basic.query("attribute/top/id,r:=trs(RID)", client=Client("foo")).collect()}
     assert got[1] == '{"update":true,"delete":false}' and got[2] == '{"update":false,"delete":false}'
-    assert '"column_update"' in basic.query("attribute/basic1/id=1/r:=tcrs(RID)").first().r
+    assert '"column_update"' in basic.query("attribute/top/id=1/r:=tcrs(RID)").first().r
