@@ -35,7 +35,7 @@ N, SHORTEST, SAMPLE = 8, 5, 8
 #: Bytes of text in a shard.
 SHARD = 24 << 20
 #: Bytes of test items that are searched in one pass; more take more passes.
-ITEMS_AT_ONCE = 32 << 20
+ITEMS_AT_ONCE = 16 << 20
 
 
 class Wavelet:
@@ -140,13 +140,13 @@ class FMIndex:
 
 def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Of pairs of ranks: equal ones and only those get the same rank."""
-    return np.unique(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1]
+    return np.unique(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1].astype(np.int32)
 
 
 class Phrases:
     """The test items' phrases over their own vocabulary.
 
-    Each is a place and a length in the items' words, kept as numbers (about 30 bytes a phrase);
+    Each is a place and a length in the items' words, kept as numbers (about 20 bytes a phrase);
     which places are of one phrase is told by doubling: a run's rank is that of its two halves' ranks.
     """
 
@@ -156,33 +156,37 @@ class Phrases:
         self.words = (self.words + 1).astype(np.int32)
         size = np.array([len(h) for h in each], np.int64)
         base = np.cumsum(size) - size
-        starts, lengths, owners, kinds = ([np.zeros(0, np.int64)] for _ in range(4))
+        starts, lengths, owners, kinds = ([np.zeros(0, np.int32)] for _ in range(4))
         for long in sorted({int(min(k, n)) for k in size if k >= shortest}):
             own = np.flatnonzero((size >= n) if long == n else (size == long))
             count = size[own] - long + 1
             at = np.repeat(base[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            rank, width = self.words.astype(np.int64), 1
+            rank, width = self.words, 1
             while width < long:
                 step = min(width, long - width)
                 rank, width = _ranks(rank[: len(rank) - step], rank[step:]), width + step
-            starts.append(at)
-            lengths.append(np.full(len(at), long))
-            owners.append(np.repeat(own, count))
+            starts.append(at.astype(np.int32))
+            lengths.append(np.full(len(at), long, np.int32))
+            owners.append(np.repeat(own, count).astype(np.int32))
             kinds.append(rank[at] + int(kinds[-1].max(initial=-1)) + 1)
         starts, lengths, owners, kinds = map(np.concatenate, (starts, lengths, owners, kinds))
-        kinds, first, of = np.unique(kinds, return_index=True, return_inverse=True)
+        first, of = np.unique(kinds, return_index=True, return_inverse=True)[1:]
         self.starts, self.lengths = starts[first], lengths[first]
         self.least = int(self.lengths.min(initial=1 << 30)) if len(first) else 0
-        named = np.array([i is not None for i, _ in items], bool)[owners] if len(owners) else np.zeros(0, bool)
-        ids = np.array([i or 0 for i, _ in items], np.int64)
-        pair = np.unique(np.stack([of[named], ids[owners[named]]]), axis=1) if named.any() else np.zeros((2, 0), np.int64)
-        self._ids, self._at = pair[1], np.searchsorted(pair[0], np.arange(len(first) + 1))
+        del starts, lengths, kinds
+        # pairs of a phrase and an item that has a name, by phrase
+        named = np.array([i is not None for i, _ in items], bool)
+        some = named[owners]
+        pair = np.unique(of[some] * max(1, len(items)) + owners[some])
+        self._ids = np.array([i or 0 for i, _ in items], np.int64)
+        self._owners = (pair % max(1, len(items))).astype(np.int32)
+        self._at = np.searchsorted(pair, np.arange(len(first) + 1) * max(1, len(items))).astype(np.int32)
         self.near = np.zeros(1 << 20, bool)
         self.near[self.vocabulary >> U64(44)] = True
 
     def items(self, phrase: int) -> list[int]:
         """The ids of the items that hold a phrase, those that have one."""
-        return self._ids[self._at[phrase] : self._at[phrase + 1]].tolist()
+        return np.unique(self._ids[self._owners[self._at[phrase] : self._at[phrase + 1]]]).tolist()
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
