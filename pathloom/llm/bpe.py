@@ -29,7 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, NONE = 128, 1 << 60
 #: Bytes of words and their results that a worker remembers, by estimate.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 ROWS = 512
 
 # the same pattern over the characters of the plain set, for which the standard library's engine is faster
@@ -95,16 +95,24 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Remembered(dict):
-    """A word's result by the word, worked out when first asked for. When what is held takes more than so many bytes, all is dropped; a result of a sixteenth of them isn't held at all."""
+    """A word's result by the word, worked out when first asked for.
+
+    What is held takes no more than so many bytes: in two halves, of which the older one is
+    dropped when the newer is full; a word of the older one that is asked for again joins the
+    newer. A result of a sixteenth of the bytes isn't held at all.
+    """
 
     def __init__(self, work: Callable, most: int = REMEMBERED):
-        self.work, self.most, self.held = work, most, 0
+        self.work, self.most, self.held, self.older = work, most, 0, {}
 
     def __missing__(self, word: str):
-        out = self.work(word)
+        out = self.older.pop(word, None)
+        if out is None:
+            out = self.work(word)
         size = 150 + (getsizeof(word) if type(word) is not int else 0) + (sum(map(_size, out)) if type(out) is tuple else _size(out))
         if size * 16 <= self.most:
-            if self.held + size > self.most:
+            if self.held + size > self.most // 2:
+                self.older = dict(self)
                 self.clear()
                 self.held = 0
             self.held += size
