@@ -16,7 +16,7 @@ over all coordinates, and at the later ones it is passed over. A list that may b
 
 Defined cases: a null text, or one without a word, has no signature and matches nothing; so
 does a null id; a very long text is signed whole, over all its shingles. Rows of one id are one
-document, and never a pair. Equal texts tie at the least id. No rows in give no rows out; other
+document, and never a pair; where they differ, each of their signatures counts. Equal texts tie at the least id. No rows in give no rows out; other
 columns are not read, whatever their names. Nothing is capped.
 """
 
@@ -87,18 +87,18 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1)
         key = (np.arange(sig.shape[1], dtype=np.int64) << 32) | sig.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), sig.shape[1])), pa.array(key.ravel())], ["id", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), sig.shape[1])), pa.array(key.ravel())], ["key", "e"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (e, p, id, sig, mask) in the order of e and p: the pairs of each list that meet there first and collide often enough.
+    """Of rows (e, p, key, sig, mask) in the order of e and p: the pairs of each list that meet there first and collide often enough.
 
     p >> 1 tells the pair of blocks, the same one twice (all pairs count) or two (those of an even p with an odd one).
     """
     held: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        e, p, ids, mask = (rows[c].to_numpy() for c in ("e", "p", "id", "mask"))
+        e, p, keys, mask = (rows[c].to_numpy() for c in ("e", "p", "key", "mask"))
         bit = np.int64(1) << (e >> 32)
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(len(e), -1)
         new = np.ones(len(e), bool)
@@ -124,9 +124,8 @@ def _lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                     both = np.packbits(equal, axis=1, bitorder="little").view(np.int64)[:, 0] & mask[x] & mask[y]
                     parts.append(np.where(both & -both == bit[x], equal.sum(1), 0))
                 n = np.concatenate(parts)
-                ok = (n >= least) & (ids[left] != ids[right])
-                x, y = ids[left[ok]], ids[right[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[ok].astype(np.int32))], ["doc_a", "doc_b", "matches"])
+                ok = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(keys[left[ok]]), pa.array(keys[right[ok]]), pa.array(n[ok].astype(np.int32))], ["key_a", "key_b", "matches"])
             a = z
 
     for b in batches:
@@ -144,9 +143,9 @@ def _lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield from pairs(pa.Table.from_batches(held))
 
 
-def _block_pairs(id: Column, parts: Column) -> Column:
-    """Of a list in so many blocks: the pairs of blocks that the id's own is in, as first << 33 | second << 1 | whether its own is the second of two."""
-    own = F.pmod(F.xxhash64(id), parts)
+def _block_pairs(key: Column, parts: Column) -> Column:
+    """Of a list in so many blocks: the pairs of blocks that the key's own is in, as first << 33 | second << 1 | whether its own is the second of two."""
+    own = F.pmod(F.xxhash64(key), parts)
 
     def pair(k: Column) -> Column:
         return F.shiftleft(F.least(own, k), 33).bitwiseOR(F.shiftleft(F.greatest(own, k), 1)).bitwiseOR((k < own).cast("bigint"))
@@ -154,37 +153,43 @@ def _block_pairs(id: Column, parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), pair)
 
 
-def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinates: int = COORDINATES, least: int = LEAST, width: int = WIDTH) -> DataFrame:
-    """Pairs doc_a < doc_b with matches, the number of coordinates that agree.
-
-    Each document whose signature another holds too is paired with the least id of that
-    signature; of different signatures, the least ids stand for all. So two documents match
-    exactly where their least ids are equal or paired.
-    """
+def _matched(docs: DataFrame, doc_id: str, text: str, coordinates: int, least: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, sig, short); signatures (key, short, id), each with its least id; pairs of different signatures (key_a, key_b, matches)."""
     if coordinates > 64:
         raise ValueError("there are at most 64 coordinates")
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = checkpointed(source.mapInArrow(_signed(coordinates, width), "id bigint, sig binary, short binary"))
-    # equal signatures are told by 128 bits of hash, so that only these are sent about
-    many = signed.groupBy("short").agg(F.min("id").alias("doc_a"), F.max("id").alias("last")).where("last > doc_a").select("short", "doc_a")
-    same = signed.select("id", "short").join(many, "short").where("id != doc_a").select("doc_a", F.col("id").alias("doc_b"), F.lit(coordinates).alias("matches"))
-
-    # an id whose rows differ has several signatures; each is posted, and the id is never its own partner
-    heads = signed.groupBy("sig").agg(F.min("id").alias("id")).select("id", "sig")
-    posted = heads.mapInArrow(_elements, "id bigint, e bigint")
+    # an id whose rows differ has several signatures: prefixes are those of signatures, which an id can't tell apart
+    heads = checkpointed(signed.groupBy("sig", "short").agg(F.min("id").alias("id")).withColumn("key", F.monotonically_increasing_id()))
+    posted = heads.select("key", "sig").mapInArrow(_elements, "key bigint, e bigint")
     # counts are combined before they are sent, and a hot value's postings may be split among tasks in the join
     counted = posted.join(posted.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "e")
     # the order by count and value as one number; counts beyond 2^25 are in the order of the values, which changes no pair
-    shared = counted.select("id", F.least("n", F.lit((1 << 25) - 1)).alias("n"), "e").select("id", F.shiftleft("n", 38).bitwiseOR(F.col("e")).alias("o"))
-    each = shared.groupBy("id").agg(F.array_sort(F.collect_list("o")).alias("l")).where(F.size("l") >= least)
-    each = each.select("id", F.slice("l", F.lit(1), F.size("l") - (least - 1)).alias("l"))
+    shared = counted.select("key", F.least("n", F.lit((1 << 25) - 1)).alias("n"), "e").select("key", F.shiftleft("n", 38).bitwiseOR(F.col("e")).alias("o"))
+    each = shared.groupBy("key").agg(F.array_sort(F.collect_list("o")).alias("l")).where(F.size("l") >= least)
+    each = each.select("key", F.slice("l", F.lit(1), F.size("l") - (least - 1)).alias("l"))
     value = lambda o: o.bitwiseAND(F.lit((1 << 38) - 1))
     mask = F.aggregate("l", F.lit(0).cast("bigint"), lambda m, o: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(value(o), 32).cast("int"))))
-    lists = each.join(heads, "id").select(F.explode("l").alias("o"), "id", "sig", mask.alias("mask"))
-    lists = lists.select(value(F.col("o")).alias("e"), F.explode(_block_pairs(F.col("id"), F.ceil(F.shiftright("o", 38) / LIST))).alias("p"), "id", "sig", "mask")
+    lists = each.join(heads, "key").select(F.explode("l").alias("o"), "key", "sig", mask.alias("mask"))
+    lists = lists.select(value(F.col("o")).alias("e"), F.explode(_block_pairs(F.col("key"), F.ceil(F.shiftright("o", 38) / LIST))).alias("p"), "key", "sig", "mask")
     lists = lists.repartition(F.col("e"), F.shiftright("p", 1)).sortWithinPartitions("e", "p")
-    near = lists.mapInArrow(lambda it: _lists(it, least), "doc_a bigint, doc_b bigint, matches int")
-    return same.unionAll(near).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    return signed, heads.select("key", "short", "id"), lists.mapInArrow(lambda it: _lists(it, least), "key_a bigint, key_b bigint, matches int")
+
+
+def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinates: int = COORDINATES, least: int = LEAST, width: int = WIDTH) -> DataFrame:
+    """Pairs doc_a < doc_b with matches, the number of coordinates that agree.
+
+    Each document whose signature another holds too is paired with the least id of that
+    signature; of different signatures, the least ids stand for all. So two documents match
+    exactly where their least ids are equal or paired.
+    """
+    signed, heads, near = _matched(docs, doc_id, text, coordinates, least, width)
+    # equal signatures are told by 128 bits of hash, so that only these are sent about
+    many = signed.groupBy("short").agg(F.min("id").alias("doc_a"), F.max("id").alias("last")).where("last > doc_a").select("short", "doc_a")
+    same = signed.select("id", "short").join(many, "short").where("id != doc_a").select("doc_a", F.col("id").alias("doc_b"), F.lit(coordinates).alias("matches"))
+    ids = near.join(heads.select(F.col("key").alias("key_a"), F.col("id").alias("a")), "key_a").join(heads.select(F.col("key").alias("key_b"), F.col("id").alias("b")), "key_b")
+    found = ids.where("a != b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "matches")
+    return same.unionAll(found).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import WORD, lower, ranks, read
+from test_operators import WORD, expected_pairs, lower, ranks, read
 
 from pathloom.llm import bpe, contamination, embeddings, licenses, near_dup, pii, quality, secrets, urls
 from pathloom.llm.common import U64, fresh, mix, word_hashes
@@ -65,6 +65,21 @@ def test_all_pairs_by_hand(spark):
     assert got == want and len({n for n in want.values()}) > 3
 
 
+@pytest.mark.parametrize("least", [near_dup.LEAST, 20])
+def test_pairs_of_ids_whose_rows_differ(spark, least):
+    random.seed(1)
+    base = [[random.choice("abcdefghij") + str(random.randrange(40)) for _ in range(60)] for _ in range(12)]
+    rows = []
+    for i in [i for i in range(150) for _ in range(random.choice([1, 1, 2, 3]))]:
+        w = list(random.choice(base))
+        for _ in range(random.choice([0, 1, 2, 4, 8])):
+            w[random.randrange(len(w))] = "new" + str(random.randrange(99))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_a, r.doc_b): r.matches for r in near_dup.near_pairs(df, least=least).collect()}
+    assert got == expected_pairs(spark, df, least) and len(got) > 500
+
+
 @pytest.mark.parametrize("most", [3, 40])
 def test_lists_in_blocks(spark, monkeypatch, most):
     df = read(spark, "documents")
