@@ -211,6 +211,48 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         mark = now
 
 
+def linked(ids: DataFrame, members: DataFrame, near: DataFrame) -> DataFrame:
+    """Of each of ids, its class and links: (id, class_id, n_links).
+
+    ``members`` (id, key) has each id's keys; ``near`` (key_a, key_b) the keys that match, each
+    pair once. Ids are linked where they share a key or hold keys that match. A class is all that
+    is connected, by its least id; n_links counts the other ids that an id is linked with,
+    whatever number of keys link them. An id without a key is a class of its own.
+    """
+    members, near = checkpointed(members.select("id", "key").distinct()), checkpointed(near.select("key_a", "key_b"))
+    # ids of several keys are counted by themselves, once for all the ways that lead to them; the others by the sizes of their keys
+    several = checkpointed(members.join(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "id"))
+    keys = members.join(several.select("id").distinct(), "id", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    own = members.groupBy("key").agg(F.min("id").alias("low"))
+    reach = near.select(F.col("key_a").alias("node"), F.col("key_b").alias("key")).unionAll(near.select("key_b", "key_a")).unionAll(own.select("key", "key"))
+
+    def counted(reach: DataFrame) -> DataFrame:
+        one = reach.join(keys, "key").select("node", "n", F.lit(None).cast("bigint").alias("id"))
+        each = reach.join(several, "key").select("node", F.lit(0).cast("bigint").alias("n"), "id").distinct()
+        return one.unionAll(each).groupBy("node").agg((F.sum("n") + F.count("id") - 1).alias("n_links"))
+
+    joined = several.groupBy("id").agg(F.min("key").alias("first")).join(several, "id").select("first", "key").where("first != key")
+    heads = components(near.unionAll(joined), "key_a", "key_b").select(F.col("id").alias("key"), "head")
+    grouped = own.join(heads, "key", "left").select("key", "low", F.coalesce("head", "key").alias("head"))
+    classes = grouped.join(grouped.groupBy("head").agg(F.min("low").alias("class_id")), "head").select("key", "class_id")
+    of_keys = classes.join(counted(reach).withColumnRenamed("node", "key"), "key")
+    of_several = counted(several.join(reach.withColumnRenamed("key", "to"), several["key"] == reach["node"]).select(several["id"].alias("node"), F.col("to").alias("key")).distinct())
+    first = members.groupBy("id").agg(F.min("key").alias("key")).join(of_keys, "key").select("id", "class_id", "n_links")
+    found = first.join(of_several.select(F.col("node").alias("id"), F.col("n_links").alias("all")), "id", "left").select("id", "class_id", F.coalesce("all", "n_links").alias("n_links"))
+    return ids.select("id").where("id IS NOT NULL").distinct().join(found, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinates: int = COORDINATES, least: int = LEAST, width: int = WIDTH) -> DataFrame:
+    """A row for each document: doc_id, class_id and n_links.
+
+    n_links is the number of all other documents that match it, copies too; class_id is the least
+    id of all that are connected by matches. Rows without an id have no row here.
+    """
+    signed, heads, near = _matched(docs, doc_id, text, coordinates, least, width)
+    members = signed.select("id", "short").join(heads.select("short", "key"), "short")
+    return linked(docs.select(F.col(doc_id).cast("bigint").alias("id")), members, near).withColumnRenamed("id", "doc_id")
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without the documents that are connected with one of a smaller id; all columns come back.
 

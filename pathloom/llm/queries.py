@@ -15,7 +15,7 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_pairs(table(spark, sf_dir, "documents"))
+    return near_dup.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

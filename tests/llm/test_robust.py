@@ -5,9 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import WORD, expected_pairs, lower, ranks, read
+from test_operators import SF, WORD, expected_pairs, lower, ranks, read
 
-from pathloom.llm import bpe, contamination, embeddings, licenses, near_dup, pii, quality, secrets, urls
+from pathloom.llm import bpe, contamination, embeddings, licenses, near_dup, pii, quality, queries, secrets, urls
 from pathloom.llm.common import U64, fresh, mix, word_hashes
 
 
@@ -65,21 +65,72 @@ def test_all_pairs_by_hand(spark):
     assert got == want and len({n for n in want.values()}) > 3
 
 
-@pytest.mark.parametrize("least", [near_dup.LEAST, 20])
-def test_pairs_of_ids_whose_rows_differ(spark, least):
+def near_rows(n, bases, rows_of_one):
     random.seed(1)
-    base = [[random.choice("abcdefghij") + str(random.randrange(40)) for _ in range(60)] for _ in range(12)]
+    base = [[random.choice("abcdefghij") + str(random.randrange(40)) for _ in range(60)] for _ in range(bases)]
     rows = []
-    for i in [i for i in range(150) for _ in range(random.choice([1, 1, 2, 3]))]:
+    for i in [i for i in range(n) for _ in range(random.choice(rows_of_one))]:
         w = list(random.choice(base))
         for _ in range(random.choice([0, 1, 2, 4, 8])):
             w[random.randrange(len(w))] = "new" + str(random.randrange(99))
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows
+
+
+@pytest.mark.parametrize("least", [near_dup.LEAST, 20])
+def test_pairs_of_ids_whose_rows_differ(spark, least):
+    df = spark.createDataFrame(near_rows(150, 12, [1, 1, 2, 3]), "doc_id long, text string")
     got = {(r.doc_a, r.doc_b): r.matches for r in near_dup.near_pairs(df, least=least).collect()}
     assert got == expected_pairs(spark, df, least) and len(got) > 500
 
 
+def classes(ids, links):
+    """Class and number of links of each id, by plain search."""
+    out = {}
+    for i in sorted(ids):
+        held, new = {i}, [i]
+        while new and i not in out:
+            new = [y for x in new for y in links[x] if y not in held and not held.add(y)]
+        for x in held if i not in out else ():
+            out[x] = (i, len(links[x]))
+    return out
+
+
+@pytest.mark.parametrize("bases, rows_of_one", [(60, [1]), (150, [1, 1, 1, 1, 1, 2, 3])])
+def test_classes_by_hand(spark, bases, rows_of_one):
+    rows = near_rows(200, bases, rows_of_one) + [(300, None), (301, "..."), (302, "..."), (None, "some words"), (303, "some words")]
+    sig = [(i, plain_signature(t)) for i, t in rows if i is not None and t and t != "..."]
+    links = {i: set() for i, _ in rows if i is not None}
+    for k, (i, s) in enumerate(sig):
+        for j, t in sig[:k]:
+            if i != j and sum(a == b for a, b in zip(s, t)) >= near_dup.LEAST:
+                links[i].add(j)
+                links[j].add(i)
+    got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as key", "3 as class_id").repartition(3)).collect()
+    want = classes(links, links)
+    assert len(got) == len(want) and {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+    assert max(n for _, n in want.values()) > 3 and len({c for c, _ in want.values()}) > 10
+
+
+def test_a_row_for_each_document(spark):
+    df = read(spark, "documents")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op2_minhash_pairs(spark, SF).collect()}
+    members, links = {}, {r.doc_id: set() for r in df.collect()}
+    pairs = near_dup.near_pairs(df).collect()
+    for r in pairs:
+        if r.matches == 64:
+            members.setdefault(r.doc_a, {r.doc_a}).add(r.doc_b)
+    for own in members.values():
+        for x in own:
+            links[x] |= own - {x}
+    for r in pairs:
+        for x in members.get(r.doc_a, {r.doc_a}):
+            for y in members.get(r.doc_b, {r.doc_b}) if r.matches < 64 else ():
+                links[x].add(y)
+                links[y].add(x)
+    assert got == classes(links, links) and sum(n for _, n in got.values()) > len(pairs)
+
+
 @pytest.mark.parametrize("most", [3, 40])
 def test_lists_in_blocks(spark, monkeypatch, most):
     df = read(spark, "documents")
