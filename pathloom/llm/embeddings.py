@@ -34,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import checkpointed
+from pathloom.llm.near_dup import linked
 
 LEAST, SUBSPACES, CODES, ROUNDS, BLOCK, MOST_LISTS = 0.95, 8, 256, 3, 20_000, 16_384
 REACH, NEAREST = None, 16
@@ -244,7 +246,7 @@ def _unit(docs: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(1).flatten()
-            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dims)
             size = np.sqrt((x * x).sum(1))
             ok = np.isfinite(size) & (size > 0)
             u = (x[ok] / size[ok][:, None]).astype(np.float32)
@@ -255,20 +257,44 @@ def _unit(docs: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
 
 def embedding_pairs(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = REACH, most_lists: int = MOST_LISTS) -> DataFrame:
     """Pairs vec_a < vec_b with cosine >= least."""
-    schema = "vec_a bigint, vec_b bigint, cosine double"
     unit, dims = _unit(vectors, vec_id, vector)
-    if not dims:
-        return vectors.sparkSession.createDataFrame([], schema)
-    unit = checkpointed(unit)
-    n = unit.count()
+    found = _found(checkpointed(unit), dims, least, block, reach, most_lists)
+    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+
+
+def embedding_classes(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, block: int = BLOCK, reach: float | None = REACH, most_lists: int = MOST_LISTS) -> DataFrame:
+    """A row for each vector: vec_id, class_id and n_links.
+
+    n_links is the number of all other ids with a cosine >= least; class_id is the least id of all
+    that are connected by such pairs. Vectors of one direction (equal once they are of length 1)
+    are searched once and match, whatever their number. A vector that matches nothing is a class
+    of its own; rows without an id have no row here.
+    """
+    unit, dims = _unit(vectors, vec_id, vector)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(v) for v in b.column(1).to_pylist()], pa.binary())], ["id", "v", "short"])
+
+    unit = checkpointed(unit.mapInArrow(name, "id bigint, v binary, short binary"))
+    # equal vectors are told by 128 bits of hash
+    heads = checkpointed(unit.select("v", "short").distinct().withColumn("id", F.monotonically_increasing_id()))
+    near = _found(heads.select("id", "v"), dims, least, block, reach, most_lists).select(F.col("vec_a").alias("key_a"), F.col("vec_b").alias("key_b")).distinct()
+    members = unit.select("id", "short").join(heads.select("short", F.col("id").alias("key")), "short")
+    return linked(vectors.select(F.col(vec_id).cast("bigint").alias("id")), members, near).withColumnRenamed("id", "vec_id")
+
+
+def _found(unit: DataFrame, dims: int, least: float, block: int, reach: float | None, most_lists: int) -> DataFrame:
+    """Pairs of vectors (id, v) of length 1, kept already; some may come twice."""
+    schema = "vec_a bigint, vec_b bigint, cosine double"
+    n = unit.count() if dims else 0
     if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return unit.sparkSession.createDataFrame([], schema)
     own, radius = train(unit, dims, n, most_lists=most_lists), float(np.sqrt(max(0.0, 2 - 2 * least)))
     sizes = _sizes(unit, own, dims)
     blocks = {k: -(-v // block) for k, (v, _) in sizes.items() if v > block}
     posted = unit.mapInArrow(_postings(own, dims, radius, radius if reach is None else radius * min(1.0, reach / dims**0.5), blocks, {k: w for k, (_, w) in sizes.items()}), "l bigint, p bigint, query boolean, id bigint, v binary, code binary, err double, home bigint")
-    found = posted.repartition("l", "p").sortWithinPartitions("l", "p", "query").mapInArrow(_search(own, dims, radius, least), schema)
-    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return posted.repartition("l", "p").sortWithinPartitions("l", "p", "query").mapInArrow(_search(own, dims, radius, least), schema)
 
 
 def _sizes(unit: DataFrame, own: Quantiser, dims: int) -> dict[int, tuple[int, float]]:

@@ -48,7 +48,7 @@ def op9_pii_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.embedding_pairs(table(spark, sf_dir, "embeddings"))
+    return embeddings.embedding_classes(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

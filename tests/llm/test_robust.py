@@ -246,6 +246,29 @@ def test_odd_vectors(spark):
     assert got == {(i, j) for i, x in vectors for j, y in vectors if i < j and x @ y >= 0.999} and got
 
 
+def test_classes_of_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 24))
+    x = np.concatenate([base, *(base[:80] + 0.07 * rng.normal(size=(80, 24)) for _ in range(4)), np.repeat(base[:2], 40, axis=0)]).astype(np.float32)
+    rows = [*enumerate(x.tolist()), (3, x[250].tolist()), (3, x[5].tolist()), (900, None), (901, [0.0] * 24), (902, [1.0]), (None, x[0].tolist()), (903, [float("nan")] * 24)]
+    held = [(i, np.array(v, np.float32)) for i, v in rows if i is not None and v and len(v) == 24 and np.linalg.norm(v) > 0]
+    unit = np.array([v / np.linalg.norm(v) for _, v in held], float)
+    links = {i: set() for i, _ in rows if i is not None}
+    for a, b in zip(*np.nonzero(unit @ unit.T >= 0.95)):
+        if held[a][0] != held[b][0]:
+            links[held[a][0]].add(held[b][0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as key", "'x' as short", "3 as class_id").repartition(3)
+    want = classes(links, links)
+    for how in ({}, {"block": 7}):
+        got = embeddings.embedding_classes(df, **how).collect()
+        assert len(got) == len(want) and {r.vec_id: (r.class_id, r.n_links) for r in got} == want
+    assert max(n for _, n in want.values()) > 40 and len({c for c, _ in want.values()}) > 200
+    for none in (df.where("false"), df.where("vec_id >= 900 and vec_id < 902")):
+        assert [(r.vec_id, r.class_id, r.n_links) for r in embeddings.embedding_classes(none).orderBy("vec_id").collect()] == [(r.vec_id, r.vec_id, 0) for r in none.orderBy("vec_id").collect()]
+    ids = {r.vec_id for r in read(spark, "embeddings").collect()}
+    assert sorted(r.vec_id for r in queries.op10_embedding_pairs(spark, SF).collect()) == sorted(ids)
+
+
 def test_few_lists(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 16))
