@@ -720,34 +720,39 @@ class Catalog:
         self.allowed_rows(table, "delete", client, hit, self.may(table, "delete", client))
         changed: dict[tuple[str, str], DataFrame] = {}
         how: dict[tuple[str, str], list[Change]] = {}
-        self.remove(table, hit, key, changed, how, set())
+        number = hit.count()
+        self.remove(table, Change(hit, key, lambda df: mutations.delete(df, hit, key, number), True), hit, number, changed, how, set())
         now = self.clock()
         for k, (name, df) in enumerate(changed.items()):
             self.put(self.model.table(*name), df, "delete", now=now, last=k == len(changed) - 1, changes=how[name])
         return self.rows[table.id]
 
-    def remove(self, table: Table, hit: DataFrame, key: list[str], changed: dict, how: dict, seen: set) -> None:
-        def change(t: Table, c: Change) -> None:
+    def remove(self, table: Table, change: Change, hit: DataFrame, number: int, changed: dict, how: dict, seen: set) -> None:
+        """The change takes rows of the table away; hit has as many rows as number, with the columns of theirs that foreign keys refer to."""
+
+        def put(t: Table, c: Change) -> None:
             how.setdefault(t.id, []).append(c)
             changed[t.id] = c.how(changed.get(t.id, self.rows[t.id]))
 
-        change(table, Change(hit, list(key), lambda df: mutations.delete(df, hit, key), True))
+        put(table, change)
         for t, f in self.model.references(table):
             if not f.enforced or (t.id, f.columns) in seen:
                 continue
-            child = changed.get(t.id, self.rows[t.id])
-            on = reduce(and_, (F.col("o")[c] == F.col("n")[k] for c, k in zip(f.columns, f.target_columns)))
-            left = mutations.unboxed(mutations.boxed(child, "o").join(mutations.boxed(hit, "n"), on, "left_semi"), "o", child.columns)
+            child, own = changed.get(t.id, self.rows[t.id]), list(f.columns)
+            keys = hit.select(*(F.col(f"`{k}`").alias(c) for c, k in zip(own, f.target_columns)))
+            left = mutations.among(child, keys, own, number)
+            needed = list(dict.fromkeys(c for _, g in self.model.references(t) if g.enforced for c in g.target_columns)) if f.on_delete == "CASCADE" else []
+            left = left.select(*(f"`{c}`" for c in needed or own))
+            if needed:  # of the rows that go, foreign keys follow these columns
+                left = self.staged(left.distinct())
             if not mutations.some(left):
                 continue
-            own = list(t.primary() or t.columns)
             if f.on_delete == "CASCADE":
-                self.remove(t, left, own, changed, how, seen | {(t.id, f.columns)})
+                gone = Change(keys, own, lambda df, keys=keys, own=own: mutations.delete(df, keys, own, number, False))
+                self.remove(t, gone, left, left.count() if needed else 0, changed, how, seen | {(t.id, f.columns)})
             elif f.on_delete in ("SET NULL", "SET DEFAULT"):
-                put = left.select(*(f"`{c}`" for c in own))
-                for c in f.columns:
-                    put = put.withColumn(f"new|{c}", F.lit(t.columns[c].default if f.on_delete == "SET DEFAULT" else None).cast(child.schema[c].dataType))
-                change(t, Change(put, own, lambda df, put=put, own=own, f=f: mutations.update(df, put, {c: c for c in own}, {c: f"new|{c}" for c in f.columns}, nullable=True), True))
+                values = {c: t.columns[c].default if f.on_delete == "SET DEFAULT" else None for c in own}
+                put(t, Change(keys, own, lambda df, keys=keys, own=own, values=values: mutations.replaced(df, keys, own, number, values)))
             else:
                 raise Conflict(f"rows of {t.name} refer to the rows")
 

@@ -7,11 +7,16 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.errors import BadRequest, Conflict
 from pathloom.operators.predicates import CLOCK, ZONE
 from pathloom.plans.model import Table
 
+#: Keys of fixed width up to which these are sent to all that join with them; keys from which a filter goes before another join, and its words of 64 bits at most.
+FEW, FILTERED, WORDS = 1 << 16, 1 << 10, 1 << 20
+_FIXED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
 
 def some(df: DataFrame) -> bool:
     return bool(df.limit(1).head(1))
@@ -87,9 +92,57 @@ def update(current: DataFrame, rows: DataFrame, key: dict[str, str], targets: di
     return both.select(*(value(c).alias(c) for c in cols))
 
 
-def delete(current: DataFrame, hit: DataFrame, key: tuple[str, ...] | list[str]) -> DataFrame:
-    """Without the rows whose key (null-safe) is among those hit."""
-    return unboxed(boxed(current, "o").join(boxed(hit.select(*(f"`{c}`" for c in key)), "n"), same("o", "n", key, True), "left_anti"), "o", current.columns)
+def parted(df: DataFrame, keys: DataFrame, key: tuple[str, ...] | list[str], number: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that may have one of the keys, rows that surely have none), so that a join moves no more than the first; the second is None where all rows are among the first.
+
+    Each key sets two bits in one of the words of a filter, which is broadcast; more keys than the words are made for let more rows through.
+    """
+    kinds = [(df.schema[c].dataType, keys.schema[c].dataType) for c in key]
+    fixed = all(isinstance(a, _FIXED) for a, _ in kinds)
+    if number <= (FEW if fixed else FILTERED) or any(a != b or not (isinstance(a, _FIXED) or a == T.StringType()) for a, b in kinds):
+        return df, None
+    code = F.xxhash64(*(F.col(f"`{c}`") for c in key))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit(63)).cast("int"))
+    own = {"word|": F.pmod(code, F.lit(min(WORDS, number // 4 + 1)).cast("bigint")), "mask|": bit(40).bitwiseOR(bit(50))}
+    words = keys.select(*(c.alias(n) for n, c in own.items())).groupBy("word|").agg(F.bit_or("mask|").alias("bits|"))
+    marked = df.withColumns(own).join(F.broadcast(words), "word|", "left")
+    may = F.coalesce(F.col("bits|").bitwiseAND(F.col("mask|")) == F.col("mask|"), F.lit(False))
+    cols = [f"`{c}`" for c in df.columns]
+    return marked.where(may).select(*cols), marked.where(~may).select(*cols)
+
+
+def sent(keys: DataFrame, number: int) -> DataFrame:
+    """keys for the side of a join that is broadcast, if they are few and of fixed width."""
+    return F.broadcast(keys) if number <= FEW and all(isinstance(f.dataType, _FIXED) for f in keys.schema) else keys
+
+
+def matching(df: DataFrame, keys: DataFrame, key: tuple[str, ...] | list[str], number: int, null_safe: bool, how: str) -> DataFrame:
+    """The rows of df whose key is among the keys (left_semi) or isn't (left_anti)."""
+    side = sent(keys.select(*(F.col(f"`{c}`").alias(f"key|{k}") for k, c in enumerate(key))), number)
+    pairs = [(F.col(f"`{c}`"), F.col(f"key|{k}")) for k, c in enumerate(key)]
+    return df.join(side, reduce(and_, (a.eqNullSafe(b) if null_safe else a == b for a, b in pairs)), how)
+
+
+def among(df: DataFrame, keys: DataFrame, key: tuple[str, ...] | list[str], number: int) -> DataFrame:
+    """The rows whose key is among the keys; a null never is."""
+    return matching(parted(df, keys, key, number)[0], keys, key, number, False, "left_semi")
+
+
+def delete(current: DataFrame, keys: DataFrame, key: tuple[str, ...] | list[str], number: int, null_safe: bool = True) -> DataFrame:
+    """Without the rows whose key is among the keys, so many in number."""
+    may, rest = parted(current, keys, key, number)
+    left = matching(may, keys, key, number, null_safe, "left_anti")
+    return left if rest is None else rest.unionAll(left)
+
+
+def replaced(current: DataFrame, keys: DataFrame, key: tuple[str, ...] | list[str], number: int, values: dict[str, object]) -> DataFrame:
+    """The rows whose key is among the keys take values; a null never is."""
+    may, rest = parted(current, keys, key, number)
+    put = keys.select(*(f"`{c}`" for c in key)).distinct()
+    for c, v in values.items():
+        put = put.withColumn(f"new|{c}", F.lit(v).cast(current.schema[c].dataType))
+    done = update(may, sent(put, number), {c: c for c in key}, {c: f"new|{c}" for c in values})
+    return done if rest is None else rest.unionAll(done)
 
 
 def clear(current: DataFrame, hit: DataFrame, key: tuple[str, ...] | list[str], columns: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
